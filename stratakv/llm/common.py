@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,16 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of that column's strings, one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // limit
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, as the session names it; a temporary one where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, packing, quality, secrets, warc
+from . import chat, licenses, packing, quality, secrets, substrings, warc
 from .common import read
 from .oracles import ORACLES
 
@@ -38,12 +38,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.substring_dedup(read(spark, sf_dir, "documents")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_license_scan, op5_chat_formatting, op6_warc, op7_best_fit_packing, op9_secret_scan)
+    f.__name__: f for f in (op1_quality_rules, op3_license_scan, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
