@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, packing, quality, secrets, substrings, warc
+from . import chat, decontam, licenses, neardup, packing, quality, secrets, substrings, warc
 from .common import read
 from .oracles import ORACLES
 
@@ -20,10 +20,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.ngram_components(read(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -47,7 +55,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_license_scan, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan)
+    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
