@@ -25,7 +25,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap, bitmap_of
 from .common import LOWER, WordHasher, byte_texts, shingle_hashes, sliced, written
 from .components import connected
 
@@ -45,8 +45,6 @@ MAX_FREQUENT = 1 << 20
 LEAST_FREQUENT = 16
 #: Members and set elements of one chunk of a star.
 CHUNK_MEMBERS, CHUNK_ELEMENTS = 2048, 4_000_000
-#: Bits of the filter that picks documents whose sets are needed (16 MB; a wrong pick costs time only).
-FILTER_BITS = 1 << 27
 
 
 class Rule:
@@ -127,32 +125,14 @@ def signatures(rows: DataFrame, rule: Rule, frequent: Broadcast) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n int, cid long, grp long, rare int, prefix array<long>")
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A bitmap of hashed ids, of a fixed size whatever their number, made by a few tasks and compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(bits)
-            np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(marks.tobytes(), 1)], pa.binary())], names=["marks"])
-
-    marks = np.zeros(bits // 8, np.uint8)
-    for (part,) in ids.coalesce(4).mapInArrow(run, "marks binary").toLocalIterator():
-        marks |= np.frombuffer(zlib.decompress(part), np.uint8)
-    return zlib.compress(marks.tobytes(), 1)
-
-
 def sets_of(rows: DataFrame, rule: Rule, ids: DataFrame) -> DataFrame:
     """(cid, n, elements) of the documents that ``ids`` holds, and of a few more."""
-    packed = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+    packed = rows.sparkSession.sparkContext.broadcast(bitmap_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks = WordHasher(), np.frombuffer(zlib.decompress(packed.value), np.uint8)
-        bits = np.uint64(len(marks) * 8)
+        hasher, marks = WordHasher(), Bitmap(packed.value)
         for batch in sliced(batches, 1, 16 << 20):
-            at = batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % bits
-            picked = batch.filter(pa.array((marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+            picked = batch.filter(pa.array(marks.has(batch.column(0).to_numpy())))
             sets = [shingle_set(t, hasher, rule.shingle) for t in byte_texts(picked.column(1))]
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "elements"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, neardup, packing, quality, secrets, substrings, warc
+from . import chat, decontam, licenses, lines, neardup, packing, quality, secrets, substrings, warc
 from .common import read
 from .oracles import ORACLES
 
@@ -54,8 +54,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.line_dedup(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan)
+    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan, op10_line_dedup)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
