@@ -17,10 +17,6 @@ from pyspark.sql import types as T
 #: Most words that a task remembers hashes of; the memory is emptied beyond that.
 WORD_CACHE = 400_000
 
-#: ASCII capitals to small letters, everything else as it is.
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
 class WordHasher(dict):
     """64-bit hashes of words given as bytes; remembers up to WORD_CACHE of them."""
 
@@ -34,6 +30,13 @@ class WordHasher(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: ASCII capitals to small letters, everything else as it is.
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Nothing changes.
+SAME = bytes(range(256))
+SPACES = b" \t\n\x0b\x0c\r"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (xor-shift and multiply; constants of public mixers)."""
     x = x ^ (x >> np.uint64(30))
@@ -43,6 +46,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number for each byte value, and the multiplier between the bytes of a word.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, numbers: np.ndarray = _BYTES) -> np.ndarray:
+    """A 64-bit hash of each run of bytes [start, start + size), a byte of all runs at a time."""
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    active, at, k = np.arange(len(start)), start, 0
+    while len(active):
+        out[active] = out[active] * _STEP + numbers[data[at + k]]
+        k += 1
+        on = size[active] > k
+        active, at = active[on], at[on]
+    return mix(out)
+
+
+class Words:
+    """The words of a column of texts, as positions and hashes in arrays: no Python object for each word.
+
+    ``fold`` maps bytes before anything else (capitals, punctuation); words are what ASCII white space
+    separates. ``bounds[d]`` to ``bounds[d + 1]`` are the words of text d; null texts have none.
+    """
+
+    def __init__(self, column: pa.Array, fold: bytes = SAME) -> None:
+        if column.null_count:
+            column = pc.fill_null(column, "")
+        _, offsets, values = column.buffers()
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        offset = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(values, np.uint8)[offset[0] : offset[-1]] if values is not None else np.empty(0, np.uint8)
+        self.offset = offset - offset[0]
+        table = np.frombuffer(fold, np.uint8)
+        space = np.isin(np.arange(256), list(SPACES))[table]
+        inside = np.append(~space[self.data], False)
+        # A text's end separates words too.
+        before = np.append(False, inside[:-1])
+        edge = self.offset[:-1][self.offset[:-1] < len(self.data)]
+        first = inside & ~before
+        first[edge] = inside[edge]
+        last = before & ~inside
+        last[edge] = before[edge]
+        self.start, end = np.flatnonzero(first), np.flatnonzero(last)
+        self.size = end - self.start
+        self.hash = hash_runs(self.data, self.start, self.size, _BYTES[table])
+        self.bounds = np.searchsorted(self.start, self.offset)
+        self.count = np.diff(self.bounds)
+
+    def lines(self) -> np.ndarray:
+        """For each word the number of its line in its text, from 0."""
+        breaks = np.flatnonzero(self.data == 10)
+        return np.searchsorted(breaks, self.start) - np.repeat(np.searchsorted(breaks, self.offset[:-1]), self.count)
+
+    def of(self, values: np.ndarray, d: int, size: int = 1) -> np.ndarray:
+        """Text d's part of an array with a value for each word, without those of its last size - 1 words."""
+        return values[self.bounds[d] : max(self.bounds[d], self.bounds[d + 1] - size + 1)]
+
+    def shingles(self, size: int):
+        """For each text the hashes of its runs of ``size`` words; with fewer words, one for all of them."""
+        flat = shingle_hashes(self.hash, size) if len(self.hash) >= size else np.empty(0, np.uint64)
+        for d, n in enumerate(self.count.tolist()):
+            yield self.of(flat, d, size) if n >= size else shingle_hashes(self.of(self.hash, d), size)
+
+
+def word_hashes(text: bytes, fold: bytes = SAME) -> np.ndarray:
+    return Words(pa.array([text], pa.binary()), fold).hash
+
+
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` words; with fewer words, one for the whole sequence."""
     if len(hashes) == 0:
@@ -93,12 +164,13 @@ def drop_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def with_results(df: DataFrame, text_col: str, results: T.StructType, make: Callable[[], Callable[[list[bytes]], list[list]]]) -> DataFrame:
+def with_results(df: DataFrame, text_col: str, results: T.StructType, make: Callable[[], Callable[[list[bytes]], list[list]]], prefix: str = "") -> DataFrame:
     """All columns of ``df`` and those computed from its texts, batch by batch, without a shuffle.
 
-    ``make`` is called once in each task and returns a function from texts to result columns.
-    Result columns replace input columns of the same name.
+    ``make`` is called once in each task and returns a function from texts to result columns, whose
+    names get the prefix. Result columns replace input columns of the same name.
     """
+    results = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in results])
     names = results.fieldNames()
     kept = drop_clashes(df, names)
     source = "__text"

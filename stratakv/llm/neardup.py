@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import Bitmap, bitmap_of
-from .common import LOWER, WordHasher, byte_texts, shingle_hashes, sliced, written
+from .common import LOWER, Words, sliced, written
 from .components import connected
 
 #: Frequent elements that are put last in the order; at most so many are broadcast (8 bytes each).
@@ -45,6 +45,8 @@ MAX_FREQUENT = 1 << 20
 LEAST_FREQUENT = 16
 #: Members and set elements of one chunk of a star.
 CHUNK_MEMBERS, CHUNK_ELEMENTS = 2048, 4_000_000
+#: Bytes of text that a task works on at a time.
+SLICE_BYTES = 8 << 20
 
 
 class Rule:
@@ -68,8 +70,15 @@ class Rule:
         return np.concatenate([rare, elements[last]])[:size], min(size, len(rare))
 
 
-def shingle_set(text: bytes, hasher: WordHasher, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(hasher.array(text.translate(LOWER).split()), size))
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Each text's set, sorted."""
+    return map(np.unique, Words(column, LOWER).shingles(size))
+
+
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the elements that hash to it: two sets differ in at least as many elements as bits."""
+    counts = np.bincount((elements >> np.uint64(24) & np.uint64(255)).astype(np.int64), minlength=256)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def class_id(elements: np.ndarray) -> int:
@@ -77,7 +86,7 @@ def class_id(elements: np.ndarray) -> int:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
 
 
 def frequent_elements(rows: DataFrame, rule: Rule) -> np.ndarray:
@@ -89,9 +98,8 @@ def frequent_elements(rows: DataFrame, rule: Rule) -> np.ndarray:
     low = np.uint64(int(2**64 * min(0.999, 1.25 * (1 - rule.num / rule.den))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in sliced(batches, 0, 16 << 20):
-            seen = [s[s < low] for s in (shingle_set(t, hasher, rule.shingle) for t in byte_texts(batch.column(0)))]
+        for batch in sliced(batches, 0, SLICE_BYTES):
+            seen = [s[s < low] for s in shingle_sets(batch.column(0), rule.shingle)]
             values, counts = np.unique(np.concatenate(seen) if seen else np.empty(0, np.uint64), return_counts=True)
             keep = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["e", "n"])
@@ -107,22 +115,20 @@ def signatures(rows: DataFrame, rule: Rule, frequent: Broadcast) -> DataFrame:
     """doc_id, set size, class, group and prefix of every document; sets stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in sliced(batches, 1, 16 << 20):
+        for batch in sliced(batches, 1, SLICE_BYTES):
             out = []
-            for text in byte_texts(batch.column(1)):
-                elements = shingle_set(text, hasher, rule.shingle)
+            for elements in shingle_sets(batch.column(1), rule.shingle):
                 n = len(elements)
                 if not n:
-                    out.append((0, None, None, None, None))
+                    out.append((0, None, None, None, None, None))
                     continue
                 prefix, rare = rule.first(elements, frequent.value)
-                out.append((n, class_id(elements), xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n) - 2**63, rare, prefix.view(np.int64)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n", "cid", "grp", "rare", "prefix"])
+                out.append((n, class_id(elements), xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n) - 2**63, rare, prefix.view(np.int64), parity_bits(elements)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "key", "n", "cid", "grp", "rare", "prefix", "bits"])
 
-    return rows.mapInArrow(run, "doc_id long, n int, cid long, grp long, rare int, prefix array<long>")
+    return rows.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n int, cid long, grp long, rare int, prefix array<long>, bits array<long>")
 
 
 def sets_of(rows: DataFrame, rule: Rule, ids: DataFrame) -> DataFrame:
@@ -130,14 +136,13 @@ def sets_of(rows: DataFrame, rule: Rule, ids: DataFrame) -> DataFrame:
     packed = rows.sparkSession.sparkContext.broadcast(bitmap_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks = WordHasher(), Bitmap(packed.value)
-        for batch in sliced(batches, 1, 16 << 20):
+        marks = Bitmap(packed.value)
+        for batch in sliced(batches, 1, SLICE_BYTES):
             picked = batch.filter(pa.array(marks.has(batch.column(0).to_numpy())))
-            sets = [shingle_set(t, hasher, rule.shingle) for t in byte_texts(picked.column(1))]
-            sets = [s for s in sets if len(s)]
+            sets = [s for s in shingle_sets(picked.column(1), rule.shingle) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "elements"])
 
-    return rows.where("doc_id is not null").mapInArrow(run, "cid long, n int, elements binary")
+    return rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "cid long, n int, elements binary")
 
 
 def _differences(member: np.ndarray, pivot: np.ndarray) -> tuple[int, np.ndarray]:
@@ -259,24 +264,32 @@ def star_edges(rows: DataFrame, rule: Rule, classes: DataFrame, stars: DataFrame
     return found.where("pivot is null").select("a", "b").union(across)
 
 
-def cross_edges(rows: DataFrame, rule: Rule, classes: DataFrame, postings: DataFrame, stars: DataFrame) -> DataFrame:
-    """Edges between members of different stars, from pairs that share a prefix element."""
+def cross_edges(rows: DataFrame, rule: Rule, classes: DataFrame, groups: DataFrame, postings: DataFrame, stars: DataFrame) -> DataFrame:
+    """Edges between members of different stars, from pairs that share a prefix element.
+
+    Only buckets with several stars matter. In each, the star with the most groups meets the others
+    and not itself, so a bucket costs its size times the number of its other members.
+    """
     num, den = rule.num, rule.den
-    member = stars.select("cid", F.col("pivot").alias("star"))
-    own = classes.select("grp", "cid", "rid", "n").join(member, "cid", "left").withColumn("star", F.coalesce("star", "cid"))
-    full = postings.select("e", "grp", "pos").join(own, "grp").select("e", "cid", "rid", "n", "pos", "star")
-    # The largest partner for which an overlap that begins here can be enough: (n - pos) / n' + ...
-    reach = F.floor((F.col("n") - F.col("pos")) * (num + den) / num) - F.col("n")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))
-    full = written(full.withColumns({"reach": reach.cast("long"), "band": band.cast("int")}), "postings")
-    low = full.select("e", "band", *[F.col(c).alias(f"{c}1") for c in ("cid", "rid", "n", "star", "reach")])
-    high = full.select("e", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}2") for c in ("cid", "rid", "n", "star", "reach")])
-    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cid1") < F.col("cid2")))
+    own = classes.join(stars, "cid", "left").select("grp", "cid", "rid", "n", "bits", F.coalesce("pivot", "cid").alias("star"))
+    by_group = own.groupBy("grp").agg(F.min("star").alias("star"), F.max("star").alias("last"))
+    placed = postings.select("e", "grp", "pos").join(by_group, "grp")
+    mixed = placed.groupBy("e").agg(F.min("star").alias("a"), F.max("last").alias("b")).where("a <> b").select("e")
+    placed = written(placed.join(mixed, "e", "left_semi").select("e", "grp", "pos", "star"), "mixed-postings")
+    most = placed.groupBy("e", "star").agg(F.count("*").alias("k")).groupBy("e").agg(F.max_by("star", F.struct("k", "star")).alias("most"))
+    # The largest partner for which an overlap that begins at this position can be enough.
+    reach = (F.floor((F.col("n") - F.col("pos")) * (num + den) / num) - F.col("n")).cast("int")
+    full = placed.drop("star").join(own, "grp").join(most, "e").select("e", "cid", "n", "star", "bits", reach.alias("reach"), (F.col("star") == F.col("most")).alias("main"))
+    fields = ("cid", "n", "star", "bits", "reach", "main")
+    one, two = (full.select("e", *[F.col(c).alias(f"{c}{k}") for c in fields]) for k in (1, 2))
+    once = F.col("main2") | (F.col("cid1") < F.col("cid2"))
     apart = (F.col("star1") != F.col("star2")) & (F.col("star1") != F.col("cid2")) & (F.col("star2") != F.col("cid1"))
-    sizes = (F.col("n1") * den >= F.col("n2") * num) & (F.col("n2") <= F.col("reach1")) & (F.col("n1") <= F.col("reach2"))
-    pairs = low.join(high, ["e", "band"]).where(smaller & apart & sizes).select("cid1", "cid2", "rid1", "rid2").distinct()
+    sizes = (F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num) & (F.col("n2") <= F.col("reach1")) & (F.col("n1") <= F.col("reach2"))
+    odd = sum((F.bit_count(F.col("bits1")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(4)), F.lit(0))
+    close = odd * (den + num) <= (den - num) * (F.col("n1") + F.col("n2"))
+    pairs = one.where("not main1").join(two, "e").where(once & apart & sizes & close).select(F.least("cid1", "cid2").alias("cid1"), F.greatest("cid1", "cid2").alias("cid2")).distinct()
     pairs = written(pairs, "cross-pairs")
-    near = written(_prefix_check(pairs, classes, rule), "near-pairs")
+    near = written(_prefix_check(pairs, classes, groups, rule), "near-pairs")
     ids = near.select(F.col("rid1").alias("rid")).union(near.select("rid2")).distinct()
     sets = written(sets_of(rows, rule, ids).select("cid", "elements").dropDuplicates(["cid"]), "cross-sets")
     both = near.join(sets.select(F.col("cid").alias("cid1"), F.col("elements").alias("x")), "cid1").join(sets.select(F.col("cid").alias("cid2"), F.col("elements").alias("y")), "cid2")
@@ -293,13 +306,15 @@ def cross_edges(rows: DataFrame, rule: Rule, classes: DataFrame, postings: DataF
     return both.select("cid1", "cid2", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _prefix_check(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+def _prefix_check(pairs: DataFrame, classes: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     """Pairs whose prefixes do not already hold more differences than a link allows.
 
     A set's rare elements are known up to the last one of its prefix, or all of them if the prefix
     goes beyond them. Where both sets are known, an element that only one has is a true difference.
     """
-    side = lambda k: classes.select(F.col("cid").alias(f"cid{k}"), F.col("n").alias(f"n{k}"), F.col("rare").alias(f"r{k}"), F.col("prefix").alias(f"p{k}"))
+    ids = pairs.select(F.col("cid1").alias("cid")).union(pairs.select("cid2")).distinct()
+    known_ = ids.join(classes, "cid").join(groups.select("grp", "rare", "prefix"), "grp")
+    side = lambda k: known_.select(F.col("cid").alias(f"cid{k}"), F.col("rid").alias(f"rid{k}"), F.col("n").alias(f"n{k}"), F.col("rare").alias(f"r{k}"), F.col("prefix").alias(f"p{k}"))
     both = pairs.join(side(1), "cid1").join(side(2), "cid2").select("cid1", "cid2", "rid1", "rid2", "n1", "n2", "r1", "r2", "p1", "p2")
 
     def known(n: int, rare: int, prefix: np.ndarray) -> int:
@@ -322,28 +337,38 @@ def _prefix_check(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
 
 
 def ngram_components(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, for every row."""
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row.
+
+    ``keeper`` marks the row that stays if one document of each component does, and every row
+    without a component; ``row_key`` is the hash of doc_id and text that names a row.
+    """
     rule, rows = Rule(shingle, num, den), _rows(docs, id_col, text_col)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_elements(rows, rule))
     signed = written(signatures(rows, rule, frequent), "signatures")
     able = signed.where("n > 0 and doc_id is not null")
-    classes = written(able.groupBy("cid").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "classes")
-    groups = classes.groupBy("grp").agg(F.min(F.struct("rid", "cid")).alias("head"), F.first("n").alias("n"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
-    postings = groups.select("grp", "head", "n", "m", F.size("prefix").alias("width"), F.posexplode("prefix").alias("pos", "e"))
-    several = postings.groupBy("e").agg(F.sum("m").alias("m")).where("m > 1").select("e")
+    one = lambda *names: [F.first(c).alias(c) for c in names]
+    classes = written(able.groupBy("cid").agg(F.min("doc_id").alias("rid"), *one("n", "grp", "bits")), "classes")
+    heads = classes.groupBy("grp").agg(F.min(F.struct("rid", "cid")).alias("head"), F.count("*").alias("m"), *one("n"))
+    prefixes = able.select("grp", "rare", "prefix").groupBy("grp").agg(*one("rare", "prefix"))
+    groups = written(prefixes.join(heads, "grp"), "groups")
+    postings = groups.select("grp", F.posexplode("prefix").alias("pos", "e"))
+    several = postings.groupBy("e").agg(F.count("*").alias("k")).where("k > 1").select("e")
     postings = written(postings.join(several, "e", "left_semi"), "shared-postings")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    placed = postings.select("e", "grp", "head", "m", "width", F.explode(F.array(band, band - 1)).alias("band"))
-    pivots = placed.groupBy("e", "band").agg(F.min("head").alias("pivot"), F.sum("m").alias("all")).where("all > 1").drop("all")
-    near = placed.join(pivots, ["e", "band"]).groupBy("grp", "head", "m", "width", "pivot").agg(F.count("*").alias("shared"))
-    near = near.where((F.col("shared") * 10 >= F.col("width")) & ((F.col("pivot.cid") != F.col("head.cid")) | (F.col("m") > 1)))
-    chosen = near.groupBy("grp").agg(F.min("pivot").alias("pivot"))
-    stars = classes.select("grp", "cid").join(chosen, "grp").select("cid", F.col("pivot.cid").alias("pivot")).where("cid <> pivot")
+    small = groups.select("grp", "head", F.size("prefix").alias("width"), band.alias("band"))
+    placed = postings.select("e", "grp").join(small, "grp").select("e", "grp", "head", "width", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    pivots = placed.groupBy("e", "band").agg(F.min("head").alias("pivot"))
+    near = placed.join(pivots, ["e", "band"]).where("pivot.cid <> head.cid").groupBy("grp", "width", "pivot").agg(F.count("*").alias("shared"))
+    chosen = near.where(F.col("shared") * 10 >= F.col("width")).groupBy("grp").agg(F.min("pivot").alias("pivot"))
+    # A group of several classes without a pivot is a star around its head.
+    to = groups.select("grp", "head", "m").join(chosen, "grp", "left").where("pivot is not null or m > 1").select("grp", F.coalesce("pivot", "head").alias("pivot"))
+    stars = classes.select("grp", "cid").join(to, "grp").select("cid", F.col("pivot.cid").alias("pivot")).where("cid <> pivot")
     stars = written(stars, "assigned")
-    edges = star_edges(rows, rule, classes, stars).union(cross_edges(rows, rule, classes, postings, stars))
+    edges = star_edges(rows, rule, classes, stars).union(cross_edges(rows, rule, classes, groups, postings, stars))
     roots = connected(edges)
     labels = classes.join(roots, classes.cid == roots.node, "left").select("cid", "rid", F.coalesce("root", "cid").alias("root"))
-    least = labels.groupBy("root").agg(F.min("rid").alias("component_id"))
-    by_class = labels.join(least, "root").select("cid", "component_id")
-    alone = F.coalesce("component_id", "doc_id")
-    return signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid")).join(by_class, "cid", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    head = labels.groupBy("root").agg(F.min(F.struct("rid", "cid")).alias("head"))
+    by_class = labels.join(head, "root").select("cid", F.col("head.rid").alias("component_id"), (F.col("cid") == F.col("head.cid")).alias("heads"))
+    named = signed.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid")).join(by_class, "cid", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("heads") & (F.col("doc_id") == F.col("component_id")), F.lit(True)).alias("keeper"), F.col("key").alias("row_key"))

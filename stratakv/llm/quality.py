@@ -192,8 +192,8 @@ def judge(text: bytes, model: dict, *, min_words: int = 50, max_repeat_percent:
     return n, len(solid.decode("utf-8", "replace")), symbols, dup_lines, repeats, failed, not failed and share >= min_content, share
 
 
-def quality_rules(docs: DataFrame, model: dict, *, text_col: str = "text", **rules) -> DataFrame:
-    """All columns of ``docs`` and those of RESULT, in one pass without a shuffle. ``rules``: as in judge()."""
+def quality_rules(docs: DataFrame, model: dict, *, text_col: str = "text", prefix: str = "", **rules) -> DataFrame:
+    """All columns of ``docs`` and those of RESULT (with ``prefix``), in one pass without a shuffle. ``rules``: as in judge()."""
 
     def make():
         def compute(texts: list[bytes]) -> list[list]:
@@ -202,7 +202,7 @@ def quality_rules(docs: DataFrame, model: dict, *, text_col: str = "text", **rul
 
         return compute
 
-    return with_results(docs, text_col, RESULT, make)
+    return with_results(docs, text_col, RESULT, make, prefix)
 
 
 __all__ = ["DEFAULT_MODEL", "RESULT", "byte_texts", "fit", "fit_field", "judge", "quality_rules", "viterbi"]
