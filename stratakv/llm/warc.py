@@ -112,11 +112,16 @@ def read_records(spark: SparkSession, folder: str, *, piece: int = 4 << 20, over
     found = written(pieces.mapInArrow(look, RECORD), "warc-candidates")
     reached = found.join(on_chain(found, piece), ["path", "off"], "left_semi")
     open_ = reached.where("digest is null")
+    if open_.isEmpty():
+        return reached
     return reached.where("digest is not null").unionByName(_long_payloads(files, open_))
 
 
 def _long_payloads(files: DataFrame, records: DataFrame) -> DataFrame:
-    """Digests of payloads that reach beyond the bytes a piece has, from the whole archive."""
+    """Digests of payloads that reach beyond the bytes a piece has, from the archives that hold such."""
+    paths = records.select("path").distinct()
+    if paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        files = files.join(F.broadcast(paths), "path", "left_semi")
     spans = records.groupBy("path").agg(F.collect_list(F.struct(*[c for c in records.columns if c not in ("path", "digest")])).alias("all"))
     done = files.select("path", "content").join(spans, "path").select("path", F.explode(F.transform("all", lambda r: F.struct(r.alias("r"), base32_sha1(F.substring(F.col("content"), (r["start"] + 1).cast("int"), r["size"].cast("int"))).alias("digest")))).alias("x"))
     return done.select("path", "x.r.*", "x.digest").select(*records.columns)
