@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, byte_texts, mix, shingle_hashes, sliced
+from .common import Words, mix, shingle_hashes, sliced, word_hashes
 
 SHINGLE = 5
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, end_word long, n_windows long"
@@ -37,12 +37,8 @@ SCHEMA = "doc_id long, item_id long, similarity double, start_word long, end_wor
 #: Capitals to small letters, and ASCII characters that are neither letters nor digits to spaces.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
-#: The table that says "perhaps known" has 2**TABLE_BITS places.
-TABLE_BITS = 20
-
-
-def folded(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+#: The table that says "perhaps known" has 2**TABLE_BITS places (4 MB).
+TABLE_BITS = 22
 
 
 def bits_of(values: np.ndarray) -> np.ndarray:
@@ -62,19 +58,19 @@ class Items:
     """The fingerprints, weights and block lookups of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, bytes]], total: int, holders: dict[int, int], radius: int) -> None:
-        hasher = WordHasher()
         self.radius, self.top = radius, 1 + math.log(max(1, total))
         self.weights = {h: 1 + math.log(total / n) for h, n in holders.items()}
-        self.known = np.zeros(1 << TABLE_BITS, bool)
+        self.values = np.sort(np.fromiter(holders, np.uint64, len(holders)))
+        self.perhaps = np.zeros(1 << TABLE_BITS, bool)
+        self.perhaps[(self.values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.by_length: dict[int, dict] = {}
         for item, text in items:
-            words = folded(text)
-            if not words:
+            words = word_hashes(text, FOLD)
+            if not len(words):
                 continue
-            counts = Counter(shingle_hashes(hasher.array(words), SHINGLE).tolist())
+            counts = Counter(shingle_hashes(words, SHINGLE).tolist())
             weight = sum(self.weights[h] * n for h, n in counts.items())
             values = np.fromiter(counts, np.uint64, len(counts))
-            self.known[(values & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
             sums = (bits_of(values) * np.array([self.weights[h] * n for h, n in counts.items()])[:, None]).sum(0, keepdims=True)
             own = self.by_length.setdefault(len(words), {"ids": [], "counts": [], "weights": [], "prints": []})
             for k, v in (("ids", item), ("counts", counts), ("weights", weight), ("prints", int(pack_signs(sums)[0]))):
@@ -90,6 +86,25 @@ class Items:
                     table.setdefault(p, []).append(i)
                 own["index"].append({k: np.array(v) for k, v in table.items()})
 
+    def known(self, values: np.ndarray) -> np.ndarray:
+        """Where the values are shingles of items: a small table first, then a search."""
+        hit = np.flatnonzero(self.perhaps[(values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        if not len(hit):
+            return hit
+        found = self.values[np.minimum(np.searchsorted(self.values, values[hit]), len(self.values) - 1)]
+        return hit[found == values[hit]]
+
+    def worth(self, words: Words) -> np.ndarray:
+        """The texts with a shingle that some item holds."""
+        found = np.zeros(len(words.count), bool)
+        for size in {min(SHINGLE, n) for n in self.by_length}:
+            if len(words.hash) < size:
+                continue
+            hit = self.known(shingle_hashes(words.hash, size))
+            text = np.searchsorted(words.bounds, hit, side="right") - 1
+            found[text[hit + size <= words.bounds[text + 1]]] = True
+        return np.flatnonzero(found)
+
     def near(self, prints: np.ndarray, own: dict) -> Iterator[tuple[int, int]]:
         """(window, item) of all pairs within the radius, found by blocks."""
         found: list[np.ndarray] = []
@@ -117,7 +132,7 @@ def matches(hashes: np.ndarray, items: Items, least: float) -> list[tuple[int, f
         if size not in grams:
             grams[size] = shingle_hashes(hashes, size)
         values = grams[size]
-        hit = np.flatnonzero(items.known[(values & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)])
+        hit = items.known(values)
         if not len(hit):
             continue
         weight = np.zeros(len(values) + 1)
@@ -197,14 +212,13 @@ def _finder(docs: DataFrame, block: list[tuple[int, bytes]], radius: int, least:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        holders = Counter(h for _, text in shared.value for h in set(shingle_hashes(hasher.array(folded(text)), SHINGLE).tolist()))
+        holders = Counter(h for _, text in shared.value for h in set(shingle_hashes(word_hashes(text, FOLD), SHINGLE).tolist()))
         items = Items(shared.value, len(shared.value), holders, radius)
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3]
-        for batch in sliced(batches, 1, 16 << 20):
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                out += [(doc, *m) for m in matches(hasher.array(folded(text)), items, least)]
+        for batch in sliced(batches, 1, 8 << 20):
+            out, ids, words = [], batch.column(0), Words(batch.column(1), FOLD)
+            for d in items.worth(words).tolist():
+                out += [(ids[d].as_py(), *m) for m in matches(words.of(words.hash, d), items, least)]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "end_word", "n_windows"])
 
