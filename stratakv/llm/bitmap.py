@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +46,27 @@ class Bitmap:
         return (self.marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def left_join_sparse(rows: DataFrame, found: DataFrame, key: str = "key") -> DataFrame:
-    """rows left-joined with ``found`` on a long key without nulls, where few rows have a partner.
+def left_join_sparse(rows: DataFrame, found: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, key: str = "key") -> DataFrame:
+    """rows left-joined with ``found`` (key and one column of array<int>) and put through ``finish``, where few rows have a partner.
 
-    A bitmap of the partners' keys goes to every task. Rows that have none for sure skip the shuffle.
+    A bitmap of the partners' keys goes to every task. Rows that have none for sure skip the shuffle,
+    and are picked and finished in one step, so that a task has one Python worker.
     """
     marks = rows.sparkSession.sparkContext.broadcast(bitmap_of(found.select(key)))
-    at = rows.columns.index(key)
+    at, names, (extra,) = rows.columns.index(key), rows.columns, [c for c in found.columns if c != key]
 
-    def part(wanted: bool) -> DataFrame:
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Bitmap(marks.value)
-            for batch in batches:
-                yield batch.filter(pa.array(known.has(batch.column(at).to_numpy()) == wanted))
+    def picked(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        known = Bitmap(marks.value)
+        for batch in batches:
+            yield batch.filter(pa.array(known.has(batch.column(at).to_numpy()) == wanted))
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return picked(batches, True)
 
-        return rows.mapInArrow(pick, rows.schema)
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in picked(batches, False):
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield from finish(iter([pa.RecordBatch.from_arrays([*batch.columns, none], names=[*names, extra])]))
 
-    return part(True).join(found, key, "left").unionByName(part(False), allowMissingColumns=True)
+    joined = rows.mapInArrow(joining, rows.schema).join(found, key, "left").select(*names, extra)
+    return joined.mapInArrow(finish, schema).unionByName(rows.mapInArrow(alone, schema))

@@ -25,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, byte_texts, mix, sliced, written
+from .bitmap import left_join_sparse
+from .common import Words, byte_texts, mix, sliced, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
-#: Characters of text for each bucket: about 1.5 million windows, and some tens of MB in its task.
-BUCKET_CHARS = 8_000_000
+#: Characters of text for each bucket: about 700,000 windows.
+BUCKET_CHARS = 4_000_000
+#: Characters of text for each part in which the answers for documents meet.
+PART_CHARS = 64_000_000
 
 #: Bytes of text whose windows a task hashes at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 BLOCK = "bucket int, rows binary, sizes binary, hashes binary, gaps binary"
 
@@ -55,9 +58,9 @@ def window_hashes(words: np.ndarray, size: int, up: np.ndarray, down: np.ndarray
     return mix((sums[size:] - sums[:-size]) * down[:n])
 
 
-def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def row_keys(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """doc_id, text, and a key that names the pair."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(*more, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
@@ -113,31 +116,36 @@ def _places(gaps: bytes, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[starts] - steps[starts], sizes)
 
 
-def repeated_windows(rows: DataFrame, size: int, n_buckets: int) -> DataFrame:
-    """(key, places): packed uint32 starts of windows that occur again, a few rows for each document."""
+def repeated_intervals(rows: DataFrame, size: int, n_buckets: int, n_parts: int) -> DataFrame:
+    """(key, removed): for documents with windows that occur again, the maximal intervals of words that those cover.
+
+    Buckets count windows; their answers meet by documents, dealt into ``n_parts`` parts.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, longest = WordHasher(), 0
         up = down = np.empty(0, np.uint64)
         kinds = [pa.int32(), *[pa.binary()] * 4]
         for batch in sliced(batches, 1, SLICE_BYTES):
             keys = batch.column(0).to_numpy()
-            arrays = [words.array(t.split()) for t in byte_texts(batch.column(1))]
-            if (need := max(map(len, arrays), default=0)) > longest:
-                longest, up, down = need, powers(BASE, need), powers(BASE_INVERSE, need)
-            all_hashes = [window_hashes(a, size, up, down) for a in arrays]
-            out = list(_blocks(keys, np.array([len(h) for h in all_hashes]), np.concatenate(all_hashes), n_buckets)) if arrays else []
+            words = Words(batch.column(1))
+            if (need := len(words.hash)) > len(up):
+                up, down = powers(BASE, need), powers(BASE_INVERSE, need)
+            lengths = np.maximum(words.count - size + 1, 0)
+            hashes = window_hashes(words.hash, size, up, down)
+            starts = np.repeat(words.bounds[:-1], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            out = list(_blocks(keys, lengths, hashes[starts], n_buckets))
             # Blocks go on in small record batches, so that Arrow's copy stays small.
-            for k in range(0, len(out), 256):
-                part = list(zip(*out[k : k + 256], strict=True))
+            for k in range(0, len(out), 128):
+                part = list(zip(*out[k : k + 128], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["bucket", "rows", "sizes", "hashes", "gaps"])
 
-    def counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, bytes]] = []
+    def counted(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, sizes, places
         blocks, hashes = [], []
         for rows_, sizes, packed, gaps in zip(frame["rows"], frame["sizes"], frame["hashes"], frame["gaps"], strict=True):
             if packed is None:
-                out.append((int(np.frombuffer(rows_, np.int64)[0]), gaps))
+                places = np.frombuffer(gaps, np.uint32)
+                found.append((np.frombuffer(rows_, np.int64), np.array([len(places)]), places))
                 continue
             own = np.zeros((len(packed) // 7, 8), np.uint8)
             own[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
@@ -145,33 +153,57 @@ def repeated_windows(rows: DataFrame, size: int, n_buckets: int) -> DataFrame:
             hashes.append(own.view(np.uint64).ravel())
         if blocks:
             everything = np.concatenate(hashes)
+            hashes.clear()
             # A block of known repetitions counts each of its hashes twice.
-            weight = np.concatenate([np.full(n, 2 if r is None else 1, np.int8) for r, _, _, n in blocks])
+            flags = np.repeat([r is None for r, _, _, _ in blocks], [n for _, _, _, n in blocks])
             order = np.argsort(everything)
-            ranked = everything[order]
-            same = ranked[1:] == ranked[:-1]
-            several = np.zeros(len(ranked), bool)
-            several[1:] |= same
-            several[:-1] |= same
-            flags = np.zeros(len(ranked), bool)
-            flags[order] = several
-            flags |= weight > 1
+            everything = everything[order]
+            same = everything[1:] == everything[:-1]
+            flags[order[1:][same]] = True
+            flags[order[:-1][same]] = True
             at = 0
             for rows_, sizes, gaps, n in blocks:
                 own, at = flags[at : at + n], at + n
                 if rows_ is None or not own.any():
                     continue
                 counts = np.frombuffer(sizes, np.uint32).astype(np.int64)
-                places, owner = _places(gaps, counts), np.repeat(np.arange(len(counts)), counts)
-                places, owner = places[own], owner[own]
-                keys = np.frombuffer(rows_, np.int64)
-                edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    out.append((int(keys[owner[a]]), places[a:b].astype(np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["key", "places"])
+                places, owner = _places(gaps, counts)[own], np.repeat(np.arange(len(counts)), counts)[own]
+                docs, left = np.unique(owner, return_counts=True)
+                found.append((np.frombuffer(rows_, np.int64)[docs], left, places.astype(np.uint32)))
+        return pd.DataFrame(_answers(found, n_parts), columns=["part", "answer"])
+
+    def merged(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [_answer(a) for a in frame["answer"]]
+        keys, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.argsort(np.repeat(keys, sizes), kind="stable")
+        owner, places = np.repeat(keys, sizes)[order], places[order]
+        edges = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
+        rows_ = [(owner[a], intervals(places[a:b], size).ravel().tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame(rows_, columns=["key", "removed"])
 
     blocks = rows.select("key", "text").mapInArrow(hashed, BLOCK)
-    return blocks.groupBy("bucket").applyInPandas(counted, "key long, places binary")
+    answers = blocks.groupBy("bucket").applyInPandas(counted, "part int, answer binary")
+    return answers.groupBy("part").applyInPandas(merged, "key long, removed array<int>")
+
+
+def _answers(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_parts: int) -> list[tuple[int, bytes]]:
+    """Packed answers, one for each part of the documents."""
+    if not found:
+        return []
+    keys, sizes, places = (np.concatenate([f[k] for f in found]) for k in range(3))
+    part = keys % n_parts
+    order = np.argsort(part, kind="stable")
+    places = places[np.argsort(np.repeat(part, sizes), kind="stable")]
+    keys, sizes, part = keys[order], sizes[order].astype(np.int64), part[order]
+    ends = np.append(0, np.cumsum(sizes))
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    pack = lambda a, b: b"".join(x.tobytes() for x in (np.array([b - a]), keys[a:b], sizes[a:b], places[ends[a] : ends[b]]))
+    return [(int(part[a]), pack(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _answer(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    return np.frombuffer(packed, np.int64, n, 8), np.frombuffer(packed, np.int64, n, 8 + 8 * n), np.frombuffer(packed, np.uint32, offset=8 + 16 * n)
 
 
 def intervals(places: np.ndarray, size: int) -> np.ndarray:
@@ -189,27 +221,27 @@ def substring_dedup(docs: DataFrame, *, size: int = 35, id_col: str = "doc_id",
     total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) if chars is None else chars
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = min(2**20, max(least, -(-total // BUCKET_CHARS)))
+    n_parts = min(2**16, max(least, -(-total // PART_CHARS)))
     # Written, since the answers are small and the blocks behind them are not.
-    found = written(repeated_windows(rows, size, n_buckets).groupBy("key").agg(F.collect_list("places").alias("places")), "repeated-windows")
+    found = written(repeated_intervals(rows, size, n_buckets, n_parts), "repeated-intervals")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "removed", "kept_text"]
         kinds = [pa.int64(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
-            lists, out = batch.column(2).to_pylist(), []
-            for text, packed in zip(byte_texts(batch.column(1)), lists, strict=True):
-                words = text.split()
-                spans = intervals(np.frombuffer(b"".join(packed or []), np.uint32), size).tolist()
-                kept, at = [], 0
-                for a, b in spans:
-                    kept += words[at:a]
-                    at = b
-                out.append((len(words), [x for s in spans for x in s], b" ".join(kept + words[at:]).decode("utf-8", "replace")))
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=names)
-
-    joined = rows.join(found, "key", "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, removed array<int>, kept_text string")
+            for part in sliced([batch], 1, SLICE_BYTES):
+                out = []
+                for text, spans in zip(byte_texts(part.column(1)), part.column(3).to_pylist(), strict=True):
+                    words, kept, at = text.split(), [], 0
+                    spans = spans or []
+                    for a, b in zip(spans[::2], spans[1::2], strict=True):
+                        kept += words[at:a]
+                        at = b
+                    out.append((len(words), spans, b" ".join(kept + words[at:]).decode("utf-8", "replace")))
+                columns = list(zip(*out, strict=True)) if out else [()] * 3
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=names)
+
+    return left_join_sparse(rows, found, cut, "doc_id long, n_words long, removed array<int>, kept_text string")
 
 
 def digest(result: DataFrame) -> DataFrame:
@@ -218,4 +250,4 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-__all__ = ["digest", "intervals", "repeated_windows", "row_keys", "substring_dedup", "window_hashes"]
+__all__ = ["digest", "intervals", "repeated_intervals", "row_keys", "substring_dedup", "window_hashes"]
