@@ -31,38 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Bitmap, bitmap_of
-from .common import WordHasher, byte_texts, mix, sliced, written
+from .bitmap import Bitmap, bitmap_of, left_join_sparse
+from .common import Words, byte_texts, mix, sliced, written
 from .substrings import BASE, BASE_INVERSE, powers, row_keys
 
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 HEAD, TAIL = np.uint64(1), np.uint64(2)
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: Variant keys for each bucket.
 BUCKET_KEYS = 2_000_000
 WHOLE = 65_535
 
 
 class Hashed:
-    """The lines with words of some texts, and hashes of any run of a line's words."""
-
-    def __init__(self, texts: list[bytes], hasher: WordHasher) -> None:
-        words: list[bytes] = []
-        rows, numbers, counts = [], [], []
-        for r, text in enumerate(texts):
-            for k, line in enumerate(text.split(b"\n")):
-                if own := line.split():
-                    words += own
-                    rows.append(r)
-                    numbers.append(k)
-                    counts.append(len(own))
-        self.row, self.line, self.count = np.array(rows, np.int64), np.array(numbers, np.int64), np.array(counts, np.int64)
-        self.end = np.cumsum(self.count)
-        self.start = self.end - self.count
-        n = len(words)
+    """The lines with words of a column of texts, and hashes of any run of a line's words."""
+
+    def __init__(self, column: pa.Array) -> None:
+        words = Words(column)
+        n, text, line = len(words.hash), np.repeat(np.arange(len(words.count)), words.count), words.lines()
+        new = np.ones(n, bool)
+        new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+        self.start = np.flatnonzero(new)
+        self.end = np.append(self.start[1:], n) if n else self.start
+        self.row, self.line, self.count = text[self.start], line[self.start], self.end - self.start
         self.down = powers(BASE_INVERSE, n + 2)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hasher.array(words) * powers(BASE, n), out=self.sums[1:])
+        np.cumsum(words.hash * powers(BASE, n), out=self.sums[1:])
 
     def run(self, a: np.ndarray, b: np.ndarray, kind: np.uint64 = np.uint64(0)) -> np.ndarray:
         """Hashes of the word runs [a, b); kinds never meet."""
@@ -97,10 +91,9 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
     """A row per line with words: key, rank (doc_id, nulls last), line, whole, occ, and its half keys if it is long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in sliced(batches, 2, SLICE_BYTES):
             keys, ranks = (batch.column(i).to_numpy() for i in range(2))
-            h = Hashed(byte_texts(batch.column(2)), hasher)
+            h = Hashed(batch.column(2))
             long_ = np.flatnonzero(h.count >= min_words)
             flat = h.halves(long_).view(np.int64).ravel()
             offsets = np.append(0, np.cumsum(np.where(h.count >= min_words, 4, 0))).astype(np.int32)
@@ -123,14 +116,14 @@ def partners(rows: DataFrame, first: bytes, shared: bytes, n_buckets: int, min_w
     spread = rows.sparkSession.sparkContext.broadcast((first, shared))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (firsts, halves) = WordHasher(), map(Bitmap, spread.value)
+        firsts, halves = map(Bitmap, spread.value)
         for batch in sliced(batches, 2, SLICE_BYTES):
             keys, ranks = (batch.column(i).to_numpy() for i in range(2))
-            h = Hashed(byte_texts(batch.column(2)), hasher)
+            h = Hashed(batch.column(2))
             able = np.flatnonzero((h.count >= min_words) & firsts.has(occurrence(keys[h.row], h.line)))
             able = able[halves.has(h.halves(able).view(np.int64).ravel()).reshape(-1, 4).any(1)]
             # A few lines at a time, so that a slice's variants stay small.
-            for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(h.count[able]) // 1_000_000)) + 1):
+            for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(h.count[able]) // 250_000)) + 1):
                 owner, out, variants = h.variants(part)
                 entries = np.empty(len(owner), _ENTRY)
                 entries["key"], entries["row"], entries["rank"], entries["line"], entries["out"] = variants, keys[h.row[owner]], ranks[h.row[owner]], h.line[owner], out
@@ -210,23 +203,24 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, line) of the pairs whose lines are within one edit, by their words."""
     wanted = written(pairs.select("key", "line").union(pairs.select("other_key", "other_line")).distinct(), "wanted-lines")
-    marks = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select("key").distinct()))
-    needed = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64("key", "line"))))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(occurrence(np.ascontiguousarray(batch.column(0).to_numpy()), batch.column(1).to_numpy()))], names=["occ"])
+
+    share = rows.sparkSession.sparkContext.broadcast
+    marks, needed = share(bitmap_of(wanted.select("key").distinct())), share(bitmap_of(wanted.mapInArrow(named, "occ long")))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = Bitmap(marks.value)
+        docs, lines = Bitmap(marks.value), Bitmap(needed.value)
         for batch in sliced(batches, 1, SLICE_BYTES):
             picked = batch.filter(pa.array(docs.has(batch.column(0).to_numpy())))
             out = [(k, n, line) for k, t in zip(picked.column(0).to_pylist(), byte_texts(picked.column(1)), strict=True) for n, line in enumerate(t.split(b"\n")) if line.split()]
             columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["key", "line", "words"])
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Bitmap(needed.value)
-        for batch in batches:
-            yield batch.filter(pa.array(lines.has(batch.column(3).to_numpy())))
+            chosen = lines.has(occurrence(np.array(columns[0], np.int64), np.array(columns[1], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["key", "line", "words"]).filter(pa.array(chosen))
 
-    found = rows.select("key", "text").mapInArrow(texts, "key long, line int, words binary").withColumn("h", F.xxhash64("key", "line")).mapInArrow(chosen, "key long, line int, words binary, h long").drop("h")
+    found = rows.select("key", "text").mapInArrow(texts, "key long, line int, words binary")
     found = written(found.dropDuplicates(["key", "line"]), "line-texts")
     other = found.select(F.col("key").alias("other_key"), F.col("line").alias("other_line"), F.col("words").alias("others"))
     both = pairs.join(found, ["key", "line"]).join(other, ["other_key", "other_line"]).select("key", "line", "words", "others")
@@ -255,22 +249,30 @@ def removed_lines(rows: DataFrame, min_words: int) -> DataFrame:
     return equal.union(verified(rows, pairs))
 
 
-def line_dedup(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines (with words), removed line numbers from 0, and the text that is left, for every row."""
-    rows = row_keys(docs, id_col, text_col).withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    gone = removed_lines(rows, min_words).groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    joined = rows.join(written(gone, "removed-lines"), "key", "left").select("doc_id", "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+def line_dedup(docs: DataFrame, *, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines (with words), removed line numbers from 0, and the text that is left, for every row.
 
+    ``carry``: columns of the input to go along, in a struct named ``rest``.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry or []]) if carry else F.lit(None).cast("int")
+    rows = row_keys(docs.select("*", rest.alias("__rest")), id_col, text_col, "__rest").withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    gone = removed_lines(rows, min_words).groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, removed in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                lines, gone_ = text.split(b"\n"), set(removed)
-                out.append((sum(bool(x.split()) for x in lines), b"\n".join(x for k, x in enumerate(lines) if k not in gone_).decode("utf-8", "replace") if removed else text.decode("utf-8", "replace")))
-            columns = list(zip(*out, strict=True)) if out else [()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), batch.column(2), pa.array(columns[1], pa.string())], names=["doc_id", "n_lines", "removed", "text"])
-
-    return joined.mapInArrow(cut, "doc_id long, n_lines long, removed array<int>, text string")
+            for part in sliced([batch], batch.schema.get_field_index("text"), SLICE_BYTES):
+                column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+                out = []
+                for text, removed in zip(byte_texts(column("text")), column("removed").to_pylist(), strict=True):
+                    split, gone_ = text.split(b"\n"), set(removed or ())
+                    left = b"\n".join(x for k, x in enumerate(split) if k not in gone_) if removed else text
+                    out.append((sum(bool(x.split()) for x in split), removed or [], left.decode("utf-8", "replace")))
+                columns = list(zip(*out, strict=True)) if out else [()] * 3
+                kinds = [pa.int64(), pa.list_(pa.int32()), pa.string()]
+                yield pa.RecordBatch.from_arrays([column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], column("__rest")], names=["doc_id", "n_lines", "removed", "text", "rest"])
+
+    kind = rows.schema["__rest"].dataType.simpleString()
+    out = left_join_sparse(rows, written(gone, "removed-lines"), cut, f"doc_id long, n_lines long, removed array<int>, text string, rest {kind}")
+    return out if carry else out.drop("rest")
 
 
 def digest(result: DataFrame) -> DataFrame:
