@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts
+from .common import LOWER, Words, sliced
 
 SCHEMA = "doc_id long, n_words long, piece int, start_word long, piece_words long, bin string, bin_room long"
 
@@ -60,10 +60,10 @@ def measured(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) ->
     """doc_id, number of words, source and a hash of the words without regard to ASCII case; texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [t.translate(LOWER).split() for t in byte_texts(batch.column(1))]
-            same = [xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63 if w else None for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array(same, pa.int64())], names=["doc_id", "source", "n_words", "cluster"])
+        for batch in sliced(batches, 1, 8 << 20):
+            words = Words(batch.column(1), LOWER)
+            same = [xxhash.xxh3_64_intdigest(words.of(words.hash, d).tobytes()) - 2**63 if n else None for d, n in enumerate(words.count.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.count, pa.int64()), pa.array(same, pa.int64())], names=["doc_id", "source", "n_words", "cluster"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"))
     return rows.mapInArrow(run, "doc_id long, source string, n_words long, cluster long")
