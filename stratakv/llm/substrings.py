@@ -1,13 +1,15 @@
 """Substring dedup: Rabin-Karp hashes of every window of a fixed number of words, counted in Spark.
 
-Every window of every document is hashed: a polynomial in 64-bit word hashes, all windows of a text
-at once from prefix sums. The hashes go to buckets by their high bits as packed blocks (seven bytes
-a window, and one for its distance from the last window of the bucket), and each bucket counts its
-hashes by sorting. A bucket answers with the windows that are repeated; they merge into maximal
-removal intervals for each document.
-
-Windows that repeat within one batch are known at once and are sent once for the batch, so a passage
-that a third of all documents hold sends one hash a batch, not one a document. The number of buckets follows
+Every window of every document is hashed: a polynomial in 64-bit word hashes, all windows of a slice
+of documents at once from prefix sums. The hashes go to buckets by their high bits as packed blocks
+(seven bytes a window, and two for its distance from the slice's last window in the bucket), and each
+bucket counts its hashes by sorting. A bucket answers to the slice with the windows that are repeated;
+with the slice's table of documents they merge into maximal removal intervals.
+
+A slice is named by a hash of its documents' keys and lengths, so a task that runs again names it
+alike; an answer to a slice that no task describes is an error. Windows that repeat within one slice
+are known at once and are sent once, so a passage that a third of all documents hold sends one hash a
+slice, not one a document. The number of buckets follows
 the input, so a bucket's size does not.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all its words; rows with
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +34,17 @@ from .common import Words, byte_texts, mix, sliced, written
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
-#: Characters of text for each bucket: about 700,000 windows.
-BUCKET_CHARS = 4_000_000
+#: Characters of text for each bucket: about 1.4 million windows.
+BUCKET_CHARS = 8_000_000
 #: Characters of text for each part in which the answers for documents meet.
 PART_CHARS = 64_000_000
 
 #: Bytes of text whose windows a task hashes at a time.
 SLICE_BYTES = 4 << 20
 
-BLOCK = "bucket int, rows binary, sizes binary, hashes binary, gaps binary"
+#: Kinds of rows between mappers, buckets and parts.
+HASHES, KNOWN, REPEATED, TABLE = range(4)
+BLOCK = "bucket int, slice long, kind int, hashes binary, data binary"
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -64,8 +69,8 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _blocks(batch_keys: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, n_buckets: int) -> Iterator[tuple]:
-    """Rows of BLOCK for the windows of one batch: hashes by bucket, and those already known to repeat."""
+def _blocks(slice_: int, hashes: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Rows of BLOCK for the windows of one slice: hashes by bucket, and those already known to repeat."""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     first = np.ones(len(ranked), bool)
@@ -75,45 +80,31 @@ def _blocks(batch_keys: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, n_b
     repeated[order] = np.repeat(counts > 1, counts)
     sent = np.zeros(len(hashes), bool)
     sent[order[first]] = True
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    known_places, known_owner = place[repeated], owner[repeated]
-    edges = np.flatnonzero(np.diff(known_owner, prepend=-1, append=-1))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        key = batch_keys[known_owner[a]]
-        yield int(key % n_buckets), key.tobytes(), None, None, known_places[a:b].astype(np.uint32).tobytes()
+    if repeated.any():
+        yield slice_ % n_buckets, slice_, REPEATED, None, np.flatnonzero(repeated).astype(np.uint32).tobytes()
     bucket = ((hashes >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
     # A known repetition needs no answer, but counts for others: it goes in a block of its own.
-    for known in (False, True):
-        chosen = np.flatnonzero(sent & (repeated == known))
+    for kind, wanted in ((HASHES, sent & ~repeated), (KNOWN, sent & repeated)):
+        chosen = np.flatnonzero(wanted)
         chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
         edges = np.flatnonzero(np.diff(bucket[chosen], prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = chosen[a:b]
             packed = np.ascontiguousarray(hashes[own]).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-            if known:
-                yield int(bucket[own[0]]), None, None, packed, None
-                continue
-            docs, sizes = np.unique(owner[own], return_counts=True)
-            yield int(bucket[own[0]]), batch_keys[docs].tobytes(), sizes.astype(np.uint32).tobytes(), packed, _gaps(place[own], sizes)
+            yield int(bucket[own[0]]), slice_, kind, packed, _gaps(own) if kind == HASHES else None
 
 
-def _gaps(places: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Distances between places that rise within each document, a byte each; a larger one as 255 and four bytes at the end."""
+def _gaps(places: np.ndarray) -> bytes:
+    """Distances between rising places, two bytes each; a larger one as 65,535 and four bytes at the end."""
     steps = np.diff(places, prepend=0)
-    starts = np.cumsum(sizes) - sizes
-    steps[starts] = places[starts]
-    large = steps >= 255
-    return np.where(large, 255, steps).astype(np.uint8).tobytes() + steps[large].astype(np.uint32).tobytes()
+    large = steps >= 65_535
+    return np.where(large, 65_535, steps).astype(np.uint16).tobytes() + steps[large].astype(np.uint32).tobytes()
 
 
-def _places(gaps: bytes, sizes: np.ndarray) -> np.ndarray:
-    n = int(sizes.sum())
-    steps = np.frombuffer(gaps, np.uint8, n).astype(np.int64)
-    steps[steps == 255] = np.frombuffer(gaps, np.uint32, offset=n)
-    total = np.cumsum(steps)
-    starts = np.cumsum(sizes) - sizes
-    return total - np.repeat(total[starts] - steps[starts], sizes)
+def _places(gaps: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(gaps, np.uint16, n).astype(np.int64)
+    steps[steps == 65_535] = np.frombuffer(gaps, np.uint32, offset=2 * n)
+    return np.cumsum(steps)
 
 
 def repeated_intervals(rows: DataFrame, size: int, n_buckets: int, n_parts: int) -> DataFrame:
@@ -124,86 +115,70 @@ def repeated_intervals(rows: DataFrame, size: int, n_buckets: int, n_parts: int)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up = down = np.empty(0, np.uint64)
-        kinds = [pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in sliced(batches, 1, SLICE_BYTES):
-            keys = batch.column(0).to_numpy()
             words = Words(batch.column(1))
             if (need := len(words.hash)) > len(up):
                 up, down = powers(BASE, need), powers(BASE_INVERSE, need)
             lengths = np.maximum(words.count - size + 1, 0)
-            hashes = window_hashes(words.hash, size, up, down)
+            table = batch.column(0).to_numpy().tobytes() + lengths.astype(np.int64).tobytes()
+            slice_ = xxhash.xxh3_64_intdigest(table) >> 1
             starts = np.repeat(words.bounds[:-1], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            out = list(_blocks(keys, lengths, hashes[starts], n_buckets))
+            out = [(slice_ % n_buckets, slice_, TABLE, None, table), *_blocks(slice_, window_hashes(words.hash, size, up, down)[starts], n_buckets)]
             # Blocks go on in small record batches, so that Arrow's copy stays small.
             for k in range(0, len(out), 128):
                 part = list(zip(*out[k : k + 128], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["bucket", "rows", "sizes", "hashes", "gaps"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["bucket", "slice", "kind", "hashes", "data"])
 
     def counted(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, sizes, places
+        out: list[tuple[int, int, int, bytes]] = []
         blocks, hashes = [], []
-        for rows_, sizes, packed, gaps in zip(frame["rows"], frame["sizes"], frame["hashes"], frame["gaps"], strict=True):
-            if packed is None:
-                places = np.frombuffer(gaps, np.uint32)
-                found.append((np.frombuffer(rows_, np.int64), np.array([len(places)]), places))
+        for slice_, kind, packed, data in zip(frame["slice"], frame["kind"], frame["hashes"], frame["data"], strict=True):
+            if kind in (REPEATED, TABLE):
+                out.append((slice_ % n_parts, slice_, kind, data))
                 continue
             own = np.zeros((len(packed) // 7, 8), np.uint8)
             own[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
-            blocks.append((rows_, sizes, gaps, len(own)))
+            blocks.append((slice_, kind, data, len(own)))
             hashes.append(own.view(np.uint64).ravel())
         if blocks:
             everything = np.concatenate(hashes)
             hashes.clear()
-            # A block of known repetitions counts each of its hashes twice.
-            flags = np.repeat([r is None for r, _, _, _ in blocks], [n for _, _, _, n in blocks])
+            flags = np.repeat([b[1] == KNOWN for b in blocks], [b[3] for b in blocks])
             order = np.argsort(everything)
             everything = everything[order]
             same = everything[1:] == everything[:-1]
             flags[order[1:][same]] = True
             flags[order[:-1][same]] = True
             at = 0
-            for rows_, sizes, gaps, n in blocks:
+            for slice_, kind, data, n in blocks:
                 own, at = flags[at : at + n], at + n
-                if rows_ is None or not own.any():
-                    continue
-                counts = np.frombuffer(sizes, np.uint32).astype(np.int64)
-                places, owner = _places(gaps, counts)[own], np.repeat(np.arange(len(counts)), counts)[own]
-                docs, left = np.unique(owner, return_counts=True)
-                found.append((np.frombuffer(rows_, np.int64)[docs], left, places.astype(np.uint32)))
-        return pd.DataFrame(_answers(found, n_parts), columns=["part", "answer"])
+                if kind == HASHES and own.any():
+                    out.append((slice_ % n_parts, slice_, REPEATED, _places(data, n)[own].astype(np.uint32).tobytes()))
+        return pd.DataFrame(out, columns=["part", "slice", "kind", "data"])
 
     def merged(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_answer(a) for a in frame["answer"]]
-        keys, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.argsort(np.repeat(keys, sizes), kind="stable")
-        owner, places = np.repeat(keys, sizes)[order], places[order]
-        edges = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
-        rows_ = [(owner[a], intervals(places[a:b], size).ravel().tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        rows_: list[tuple[int, list[int]]] = []
+        for slice_, own in frame.groupby("slice"):
+            tables = own["data"][own["kind"] == TABLE]
+            answers = own["data"][own["kind"] == REPEATED]
+            if not len(answers):
+                continue
+            if not len(tables):
+                raise RuntimeError(f"answers for slice {slice_}, which no task has described")
+            keys, lengths = np.frombuffer(tables.iloc[0], np.int64).reshape(2, -1)
+            ends = np.cumsum(lengths)
+            found = np.unique(np.concatenate([np.frombuffer(a, np.uint32) for a in answers]).astype(np.int64))
+            doc = np.searchsorted(ends, found, side="right")
+            places = found - (ends - lengths)[doc]
+            edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+            rows_ += [(keys[doc[a]], intervals(places[a:b], size).ravel().tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pd.DataFrame(rows_, columns=["key", "removed"])
 
     blocks = rows.select("key", "text").mapInArrow(hashed, BLOCK)
-    answers = blocks.groupBy("bucket").applyInPandas(counted, "part int, answer binary")
-    return answers.groupBy("part").applyInPandas(merged, "key long, removed array<int>")
-
-
-def _answers(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_parts: int) -> list[tuple[int, bytes]]:
-    """Packed answers, one for each part of the documents."""
-    if not found:
-        return []
-    keys, sizes, places = (np.concatenate([f[k] for f in found]) for k in range(3))
-    part = keys % n_parts
-    order = np.argsort(part, kind="stable")
-    places = places[np.argsort(np.repeat(part, sizes), kind="stable")]
-    keys, sizes, part = keys[order], sizes[order].astype(np.int64), part[order]
-    ends = np.append(0, np.cumsum(sizes))
-    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-    pack = lambda a, b: b"".join(x.tobytes() for x in (np.array([b - a]), keys[a:b], sizes[a:b], places[ends[a] : ends[b]]))
-    return [(int(part[a]), pack(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _answer(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(packed, np.int64, 1)[0])
-    return np.frombuffer(packed, np.int64, n, 8), np.frombuffer(packed, np.int64, n, 8 + 8 * n), np.frombuffer(packed, np.uint32, offset=8 + 16 * n)
+    answers = blocks.groupBy("bucket").applyInPandas(counted, "part int, slice long, kind int, data binary")
+    # Rows with one key hold one text, so their answers are equal.
+    return answers.groupBy("part").applyInPandas(merged, "key long, removed array<int>").dropDuplicates(["key"])
 
 
 def intervals(places: np.ndarray, size: int) -> np.ndarray:
