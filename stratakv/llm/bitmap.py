@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: 16 MB, whatever the number of keys; more keys only make "perhaps" more frequent.
-BITS = 1 << 27
+#: 8 MB, whatever the number of keys; more keys only make "perhaps" more frequent.
+BITS = 1 << 26
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Nothing changes.
 SAME = bytes(range(256))
 SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of text that a task works on at a time.
+SLICE_BYTES = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +126,15 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, and keeps what it once had."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -141,6 +153,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what written() has left in the shared folder; only after all results that rest on it are saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stratakv")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """Without the columns that a result column of the same name replaces (names compare without case)."""
     taken = {x.lower() for x in names}
@@ -156,13 +174,13 @@ def with_results(df: DataFrame, text_col: str, results: T.StructType, make: Call
     results = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in results])
     names = results.fieldNames()
     kept = drop_clashes(df, names)
-    source = "__text"
+    source, at = "__text", len(kept.columns)
     wide = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text_col}`").cast("string").alias(source))
     kinds = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in sliced(batches, at, SLICE_BYTES):
             columns = compute(byte_texts(batch.column(batch.schema.get_field_index(source))))
             rest = [i for i in range(batch.num_columns) if batch.schema.field(i).name != source]
             yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shingle_hashes, sliced, word_hashes
+from .common import SLICE_BYTES, Words, mix, shingle_hashes, sliced, word_hashes
 
 SHINGLE = 5
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, end_word long, n_windows long"
@@ -215,7 +215,7 @@ def _finder(docs: DataFrame, block: list[tuple[int, bytes]], radius: int, least:
         holders = Counter(h for _, text in shared.value for h in set(shingle_hashes(word_hashes(text, FOLD), SHINGLE).tolist()))
         items = Items(shared.value, len(shared.value), holders, radius)
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3]
-        for batch in sliced(batches, 1, 8 << 20):
+        for batch in sliced(batches, 1, SLICE_BYTES):
             out, ids, words = [], batch.column(0), Words(batch.column(1), FOLD)
             for d in items.worth(words).tolist():
                 out += [(ids[d].as_py(), *m) for m in matches(words.of(words.hash, d), items, least)]

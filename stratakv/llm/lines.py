@@ -37,7 +37,7 @@ from .substrings import BASE, BASE_INVERSE, powers, row_keys
 
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 HEAD, TAIL = np.uint64(1), np.uint64(2)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Variant keys for each bucket.
 BUCKET_KEYS = 2_000_000
 WHOLE = 65_535
@@ -123,7 +123,7 @@ def partners(rows: DataFrame, first: bytes, shared: bytes, n_buckets: int, min_w
             able = np.flatnonzero((h.count >= min_words) & firsts.has(occurrence(keys[h.row], h.line)))
             able = able[halves.has(h.halves(able).view(np.int64).ravel()).reshape(-1, 4).any(1)]
             # A few lines at a time, so that a slice's variants stay small.
-            for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(h.count[able]) // 250_000)) + 1):
+            for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(h.count[able]) // 100_000)) + 1):
                 owner, out, variants = h.variants(part)
                 entries = np.empty(len(owner), _ENTRY)
                 entries["key"], entries["row"], entries["rank"], entries["line"], entries["out"] = variants, keys[h.row[owner]], ranks[h.row[owner]], h.line[owner], out
@@ -131,8 +131,8 @@ def partners(rows: DataFrame, first: bytes, shared: bytes, n_buckets: int, min_w
                 order = np.argsort(bucket, kind="stable")
                 entries, bucket = entries[order], bucket[order]
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-                for k in range(0, len(edges) - 1, 256):
-                    some = list(zip(edges[:-1], edges[1:], strict=True))[k : k + 256]
+                for k in range(0, len(edges) - 1, 64):
+                    some = list(zip(edges[:-1], edges[1:], strict=True))[k : k + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in some], pa.int32()), pa.array([pack(entries[a:b]) for a, b in some], pa.binary())], names=["bucket", "data"])
 
     def meet(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import Bitmap, bitmap_of
-from .common import LOWER, Words, sliced, written
+from .common import LOWER, SLICE_BYTES, Words, sliced, written
 from .components import connected
 
 #: Frequent elements that are put last in the order; at most so many are broadcast (8 bytes each).
@@ -45,8 +45,8 @@ MAX_FREQUENT = 1 << 20
 LEAST_FREQUENT = 16
 #: Members and set elements of one chunk of a star.
 CHUNK_MEMBERS, CHUNK_ELEMENTS = 2048, 4_000_000
-#: Bytes of text that a task works on at a time.
-SLICE_BYTES = 8 << 20
+#: Bytes of text over which a task counts frequent elements at a time.
+COUNT_BYTES = 8 << 20
 
 
 class Rule:
@@ -98,7 +98,7 @@ def frequent_elements(rows: DataFrame, rule: Rule) -> np.ndarray:
     low = np.uint64(int(2**64 * min(0.999, 1.25 * (1 - rule.num / rule.den))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 0, SLICE_BYTES):
+        for batch in sliced(batches, 0, COUNT_BYTES):
             seen = [s[s < low] for s in shingle_sets(batch.column(0), rule.shingle)]
             values, counts = np.unique(np.concatenate(seen) if seen else np.empty(0, np.uint64), return_counts=True)
             keep = counts > 1

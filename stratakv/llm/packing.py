@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, sliced
+from .common import LOWER, SLICE_BYTES, Words, sliced
 
 SCHEMA = "doc_id long, n_words long, piece int, start_word long, piece_words long, bin string, bin_room long"
 
@@ -60,7 +60,7 @@ def measured(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) ->
     """doc_id, number of words, source and a hash of the words without regard to ASCII case; texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1, 8 << 20):
+        for batch in sliced(batches, 1, SLICE_BYTES):
             words = Words(batch.column(1), LOWER)
             same = [xxhash.xxh3_64_intdigest(words.of(words.hash, d).tobytes()) - 2**63 if n else None for d, n in enumerate(words.count.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.count, pa.int64()), pa.array(same, pa.int64())], names=["doc_id", "source", "n_words", "cluster"])
