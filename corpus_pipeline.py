@@ -35,10 +35,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur, or nearly occur, earlier; those left without any words go."""
-    result = lines.line_dedup(docs, carry=docs.columns).where("n_lines = 0 or n_lines > size(removed)")
-    changed = F.size("removed") > 0
-    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("rest.text")), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None}
-    return result.select(*[(new[c] if new.get(c) is not None else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    carried = docs.withColumn("__no_text", F.col("text").isNull())
+    result = lines.line_dedup(carried, carry=[c for c in carried.columns if c != "text"]).where("n_lines = 0 or n_lines > size(removed)")
+    new = {"text": F.when(~F.col("rest.__no_text"), F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return result.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
