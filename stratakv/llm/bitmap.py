@@ -18,21 +18,36 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_of(keys: DataFrame, bits: int = BITS) -> bytes:
-    """Compressed bitmap of a column of longs without nulls. Four tasks make one part each; ``bits`` is a power of two."""
+    """Compressed bitmap of a column of longs without nulls; ``bits`` is a power of two.
+
+    Every task makes one of its own keys, four tasks join them, and the driver joins those four.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             at = _places(np.ascontiguousarray(batch.column(0).to_numpy()), bits)
             np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(marks.tobytes(), 1)], pa.binary())], names=["marks"])
+        yield from _packed(marks)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                marks |= np.frombuffer(zlib.decompress(batch.column(0)[k].as_py()), np.uint8)
+        yield from _packed(marks)
 
     marks = np.zeros(bits // 8, np.uint8)
-    for (part,) in keys.coalesce(4).mapInArrow(run, "marks binary").toLocalIterator():
+    for (part,) in keys.mapInArrow(run, "marks binary").repartition(4).mapInArrow(join, "marks binary").collect():
         marks |= np.frombuffer(zlib.decompress(part), np.uint8)
     return zlib.compress(marks.tobytes(), 1)
 
 
+def _packed(marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if marks.any():
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(marks.tobytes(), 1)], pa.binary())], names=["marks"])
+
+
 class Bitmap:
     def __init__(self, packed: bytes) -> None:
         self.marks = np.frombuffer(zlib.decompress(packed), np.uint8)
