@@ -1,7 +1,7 @@
 """License scans with DataFrame functions alone: ordered signature rules behind a keyword gate.
 
 A text is normalised to words (small ASCII letters, digits, characters beyond ASCII) with single
-spaces. Documents without a gate word leave at once. For the rest, the keywords that occur choose
+spaces. Documents without a gate word or base phrase leave at once. For the rest, the keywords choose
 rules by an equi-join with the rule table, whose size is fixed by this file. Every place of a rule's
 pattern is an interval with a priority; an interval within another of the same or a higher priority
 is suppressed (of equal intervals, the rule that comes first in the table stays). The surviving
@@ -147,9 +147,8 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Two hashes name a row; repeated rows share one name, and are scanned once.
     rows = rows.withColumn("row", F.struct(F.xxhash64("doc_id", "norm").alias("a"), F.xxhash64("norm", "doc_id", F.lit(1)).alias("b")))
     n_words = F.length("norm") - F.length(F.translate("norm", " ", "")) - 1
-    anything = "|".join(GATES)
-    rows = rows.withColumns({"n_words": F.when(F.length("norm") > 2, n_words).otherwise(0).cast("long"), "gated": F.col("norm").rlike(rf" (?:{anything}) ")})
-    base = "|".join(rf"{p}" for p, _ in BASE)
+    anything, base = "|".join(GATES), "|".join(p for p, _ in BASE)
+    rows = rows.withColumns({"n_words": F.when(F.length("norm") > 2, n_words).otherwise(0).cast("long"), "gated": F.col("norm").rlike(rf" (?:{anything}|{base}) ")})
     keys = F.array_distinct(F.regexp_extract_all("norm", F.lit(rf" ({anything})(?= )"), F.lit(1)))
     gated = rows.where("gated").dropDuplicates(["row"])
     # Base places: the words before each one are counted in the parts between matches.

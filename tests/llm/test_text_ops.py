@@ -87,6 +87,14 @@ def test_license_base(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+def test_license_base_without_keyword(spark):
+    """Base places count in every text, with a rule's keyword or without."""
+    texts = ["Released under the General Public License, version 3.", "a general public license, a General-Public License", "general public licenses"]
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert {k: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for k, r in got.items()} == {k: brute.license_base(t) for k, t in enumerate(texts)}
+    assert [got[k].n_base for k in range(3)] == [1, 2, 0] and [got[k].labels for k in range(3)] == ["gpl", "gpl", ""]
+
+
 def suppressed(text):
     """The labels of all rules' places, without those inside another of no lower priority."""
     norm = " " + " ".join(brute.LETTERS.findall(text.translate(brute.SMALL))) + " "
