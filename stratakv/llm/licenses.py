@@ -23,17 +23,24 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the base contract: phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label, keyword of the gate, name as it reads in a normalised text, SPDX forms, addresses.
+#: label, keyword of the gate (a word of every text that the name matches), name as it reads in a normalised text, SPDX forms, addresses.
 FAMILIES = (
     ("mit", "mit", r"mit(?: x11)?", ("mit", "mit 0", "x11"), ("opensource org licenses mit", "mit license org")),
     ("apache", "apache", r"apache(?: software)?(?: foundation)?", ("apache 2 0", "apache 1 1", "apache 1 0"), ("apache org licenses license 2 0", "opensource org licenses apache 2 0")),
-    ("gpl", "gpl", r"(?:gnu )?gpl(?:v[123])?", ("gpl 2 0", "gpl 3 0", "gpl 2 0 only", "gpl 3 0 or later"), ("gnu org copyleft gpl", "gnu org licenses gpl")),
+    ("gpl", "gpl", r"(?:gnu )?gpl", ("gpl 2 0", "gpl 3 0", "gpl 2 0 only", "gpl 3 0 or later"), ("gnu org copyleft gpl", "gnu org licenses gpl")),
+    ("gpl", "gplv1", r"(?:gnu )?gplv1", (), ()),
+    ("gpl", "gplv2", r"(?:gnu )?gplv2", (), ()),
+    ("gpl", "gplv3", r"(?:gnu )?gplv3", (), ()),
     ("gpl", "gnu", r"gnu general public", ("gpl 1 0",), ("gnu org licenses old licenses gpl 2 0",)),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v[23])?", ("lgpl 2 1", "lgpl 3 0", "lgpl 2 0"), ("gnu org licenses lgpl", "gnu org copyleft lesser")),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl", ("lgpl 2 1", "lgpl 3 0", "lgpl 2 0"), ("gnu org licenses lgpl", "gnu org copyleft lesser")),
+    ("lgpl", "lgplv2", r"(?:gnu )?lgplv2", (), ()),
+    ("lgpl", "lgplv3", r"(?:gnu )?lgplv3", (), ()),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public", ("lgpl 2 1 or later",), ("gnu org licenses old licenses lgpl 2 1",)),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?:v3)?", ("agpl 3 0", "agpl 3 0 only"), ("gnu org licenses agpl",)),
+    ("agpl", "agpl", r"(?:gnu )?agpl", ("agpl 3 0", "agpl 3 0 only"), ("gnu org licenses agpl",)),
+    ("agpl", "agplv3", r"(?:gnu )?agplv3", (), ()),
     ("agpl", "affero", r"(?:gnu )?affero general public", ("agpl 3 0 or later",), ("affero org oagpl",)),
-    ("gfdl", "gfdl", r"(?:gnu )?(?:gfdl|free documentation)", ("gfdl 1 3", "gfdl 1 2"), ("gnu org licenses fdl",)),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl", ("gfdl 1 3", "gfdl 1 2"), ("gnu org licenses fdl",)),
+    ("gfdl", "documentation", r"(?:gnu )?free documentation", (), ()),
     ("bsd", "bsd", r"(?:new |modified |simplified |revised )?(?:[234] clause )?bsd(?: [0234] clause)?", ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "0bsd"), ("opensource org licenses bsd license", "opensource org licenses bsd 3 clause")),
     ("mpl", "mpl", r"mpl", ("mpl 1 1", "mpl 2 0"), ("mozilla org mpl",)),
     ("mpl", "mozilla", r"mozilla public", ("mpl 1 0",), ("mozilla org en us mpl",)),
@@ -85,7 +92,8 @@ FAMILIES = (
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", ("ncsa",), ("opensource org licenses ncsa",)),
     ("afl", "academic", r"academic free", ("afl 3 0",), ("opensource org licenses afl 3 0",)),
     ("osl", "open", r"open software", ("osl 3 0",), ("opensource org licenses osl 3 0",)),
-    ("qpl", "qpl", r"(?:q public|qpl)", ("qpl 1 0",), ("opensource org licenses qpl 1 0",)),
+    ("qpl", "qpl", r"qpl", ("qpl 1 0",), ("opensource org licenses qpl 1 0",)),
+    ("qpl", "q", r"q public", (), ()),
     ("ipl", "ibm", r"ibm public", ("ipl 1 0",), ("opensource org licenses ipl 1 0",)),
     ("cpl", "common", r"common public", ("cpl 1 0",), ("opensource org licenses cpl1 0",)),
 )

@@ -117,6 +117,50 @@ def test_license_rules(spark):
     assert got[0] == {"cc-by-nc"} and got[1] == {"bsd"} and got[7] == set() and len(licenses.RULES) > 200
 
 
+def ungated(text):
+    """Like suppressed(), with every rule tried on every text."""
+    norm = " " + " ".join(brute.LETTERS.findall(text.translate(brute.SMALL))) + " "
+    found = sorted((m.start(), -m.end(), -priority, number, label) for number, _, pattern, label, priority in licenses.RULES for m in re.finditer(pattern, norm))
+    kept = [d for k, d in enumerate(found) if not any(e[1] <= d[1] and e[2] <= d[2] for e in found[:k])]
+    return {d[4] for d in kept} | set(filter(None, brute.license_base(text)[4].split(",")))
+
+
+def test_license_alternatives(spark):
+    """What the gate lets pass is what all patterns find."""
+    names = ["GPLv1", "GPLv2", "GPLv3", "LGPLv2", "LGPLv3", "AGPLv3", "GNU Free Documentation", "Free Documentation", "Q Public", "GNU GPLv3", "GPL", "LGPL", "AGPL", "GFDL", "QPL"]
+    texts = [t for n in names for t in (f"Licensed under the {n}.", f"the {n} License", f"License: {n}")]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert got == {k: ungated(t) for k, t in enumerate(texts)}
+    labels = ["gpl"] * 3 + ["lgpl"] * 2 + ["agpl"] + ["gfdl"] * 2 + ["qpl"] + ["gpl"] * 2 + ["lgpl", "agpl", "gfdl", "qpl"]
+    assert [got[k] for k in range(len(texts))] == [{x} for x in labels for _ in range(3)]
+
+
+def spelled(nodes):
+    """Texts for each alternative of a parsed pattern; what may be left out is once there and once not."""
+    out = [""]
+    for kind, value in nodes:
+        match str(kind):
+            case "LITERAL":
+                forms = [chr(value)]
+            case "IN":
+                forms = [chr(x[1] if isinstance(x[1], int) else x[1][0]) for x in value]
+            case "BRANCH":
+                forms = [t for branch in value[1] for t in spelled(branch)]
+            case "SUBPATTERN":
+                forms = spelled(value[3])
+            case "MAX_REPEAT":
+                forms = [""] * (value[0] == 0) + spelled(value[2])
+            case "ASSERT":
+                forms = [" "]
+        out = [a + b for a in out for b in forms]
+    return out
+
+
+def test_license_keyword_is_in_every_alternative():
+    for _, keyword, pattern, _, _ in licenses.RULES:
+        assert all(f" {keyword} " in t and re.match(pattern, t) for t in spelled(re._parser.parse(pattern))), (keyword, pattern)
+
+
 def test_license_native_repeated_and_empty(spark):
     texts = ["mit license"] * 3 + [None]
     df = frame(spark, texts, [1, 1, None, None]).withColumn("row", F.lit(1)).withColumn("labels", F.lit("x"))
