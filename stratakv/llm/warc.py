@@ -4,7 +4,9 @@ Archives are plain WARC 1.1 files in the shared folder. A reader's tasks look at
 archive and emit, for every place that looks like a record header, the offset that its lengths lead
 to. Within a piece these links are followed to the first offset beyond it; between pieces pointer
 jumping from offset 0 doubles the distance each round. Only records on the chain from the start of
-the file are kept, so a header inside a payload is never taken for a record.
+the file are kept, so a header inside a payload is never taken for a record. Headers longer than
+``header_limit`` are read from their archive in slices that grow until they hold the header. An
+archive whose chain does not lead to its end raises an error.
 
 Defined cases: a null html is an empty payload; a null page_id is a record of its own that nothing
 refers to; rows with the same page_id each give a row; line breaks in a url become spaces; an empty
@@ -74,26 +76,47 @@ def _field(header: bytes, name: bytes) -> str | None:
     return m[1].decode("utf-8", "replace").strip() if m else None
 
 
+def record(path: str, base: int, data: bytes, at: int, limit: int) -> tuple | None:
+    """What is at ``at``: a record with the offset it leads to, one without offset where its headers go on beyond the limit, or None."""
+    stop = data.find(b"\r\n\r\n", at, at + limit)
+    header = data[at:stop] if stop >= 0 else b""
+    length = _LENGTH.search(header.replace(b"\r\n", b"\n"))
+    if stop >= 0 and not (length and (kind := _field(header, b"WARC-Type"))):
+        return None
+    if stop >= 0:
+        block, size = stop + 4, int(length[1])
+        inner = data.find(b"\r\n\r\n", block, block + min(size, limit))
+    if stop < 0 or inner < 0 and block + size > min(len(data), block + limit):
+        return path, base, base + at, *[None] * 8
+    start = inner + 4 if inner >= 0 else block
+    bytes_ = max(0, block + size - start)
+    whole = start + bytes_ <= len(data)
+    digest = base64.b32encode(hashlib.sha1(data[start : start + bytes_]).digest()).decode() if whole else None
+    ids = [(_field(header, x) or "").removeprefix("<urn:page:").removesuffix(">") or None for x in (b"WARC-Record-ID", b"WARC-Refers-To")]
+    claimed = (_field(header, b"WARC-Payload-Digest") or "").removeprefix("sha1:")
+    return path, base, base + at, base + block + size + 4, base + start, bytes_, kind, ids[0], ids[1], claimed, digest
+
+
 def candidates(path: str, base: int, data: bytes, piece: int, limit: int) -> Iterator[tuple]:
-    """Everything in the first ``piece`` bytes that looks like a record, with the offset it leads to."""
+    """Everything in the first ``piece`` bytes that looks like a record, with the offset it leads to.
+
+    One whose headers go on beyond the limit has no offset, and must follow the end of a record.
+    """
     at = data.find(MAGIC, 0, piece + len(MAGIC) - 1)
     while 0 <= at < piece:
-        stop = data.find(b"\r\n\r\n", at, at + limit)
-        header = data[at:stop] if stop >= 0 else b""
-        length = _LENGTH.search(header.replace(b"\r\n", b"\n"))
-        if length and (kind := _field(header, b"WARC-Type")):
-            block, size = stop + 4, int(length[1])
-            inner = data.find(b"\r\n\r\n", block, block + min(size, limit))
-            start = inner + 4 if inner >= 0 else block
-            bytes_ = max(0, block + size - start)
-            whole = start + bytes_ <= len(data)
-            digest = base64.b32encode(hashlib.sha1(data[start : start + bytes_]).digest()).decode() if whole else None
-            ids = [(_field(header, x) or "").removeprefix("<urn:page:").removesuffix(">") or None for x in (b"WARC-Record-ID", b"WARC-Refers-To")]
-            claimed = (_field(header, b"WARC-Payload-Digest") or "").removeprefix("sha1:")
-            yield path, base, base + at, base + block + size + 4, base + start, bytes_, kind, ids[0], ids[1], claimed, digest
+        found = record(path, base, data, at, limit)
+        if found and (found[3] is not None or at < 4 or data[at - 4 : at] == b"\r\n\r\n"):
+            yield found
         at = data.find(MAGIC, at + 1, piece + len(MAGIC) - 1)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 5]
+    names = ["path", "base", "off", "nxt", "start", "size", "kind", "page_id", "refers_to", "claimed", "digest"]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
 def read_records(spark: SparkSession, folder: str, *, piece: int = 4 << 20, overlap: int = 1 << 20, header_limit: int = 1 << 16) -> DataFrame:
     """The records on the chain from the start of each archive, with the digest of the payload that was read."""
     files = spark.read.format("binaryFile").load(folder)
@@ -101,29 +124,62 @@ def read_records(spark: SparkSession, folder: str, *, piece: int = 4 << 20, over
     pieces = files.where("length > 0").select("path", F.explode(cut).alias("x")).select("path", "x.base", "x.data")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 5]
-        names = ["path", "base", "off", "nxt", "start", "size", "kind", "page_id", "refers_to", "claimed", "digest"]
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = list(candidates(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), piece, header_limit))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                yield _batch(list(candidates(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), piece, header_limit)))
 
     found = written(pieces.mapInArrow(look, RECORD), "warc-candidates")
-    reached = found.join(on_chain(found, piece), ["path", "off"], "left_semi")
+    long = found.where("nxt is null")
+    found = found.where("nxt is not null")
+    if not long.isEmpty():
+        found = found.unionByName(_long_headers(files, long, header_limit))
+    reached = written(found.join(on_chain(found, piece), ["path", "off"], "left_semi"), "warc-reached")
+    ends = reached.groupBy("path").agg(F.max("nxt").alias("end"))
+    broken = files.where("length > 0").select("path", "length").join(ends, "path", "left").where("end is null or end <> length").first()
+    if broken:
+        raise ValueError(f"the records of {broken.path} lead to {broken.end or 0} of {broken.length} bytes")
     open_ = reached.where("digest is null")
     if open_.isEmpty():
         return reached
     return reached.where("digest is not null").unionByName(_long_payloads(files, open_))
 
 
-def _long_payloads(files: DataFrame, records: DataFrame) -> DataFrame:
-    """Digests of payloads that reach beyond the bytes a piece has, from the archives that hold such."""
+def _holding(files: DataFrame, records: DataFrame, *columns: str) -> DataFrame:
+    """The archives that hold some of the records, each with these columns of all of them."""
     paths = records.select("path").distinct()
     if paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         files = files.join(F.broadcast(paths), "path", "left_semi")
-    spans = records.groupBy("path").agg(F.collect_list(F.struct(*[c for c in records.columns if c not in ("path", "digest")])).alias("all"))
-    done = files.select("path", "content").join(spans, "path").select("path", F.explode(F.transform("all", lambda r: F.struct(r.alias("r"), base32_sha1(F.substring(F.col("content"), (r["start"] + 1).cast("int"), r["size"].cast("int"))).alias("digest")))).alias("x"))
+    return files.select("path", "length", "content").join(records.groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("all")), "path")
+
+
+def _long_headers(files: DataFrame, records: DataFrame, limit: int) -> DataFrame:
+    """The candidates whose headers go on beyond the limit, from slices of their archives, four times as long each round."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, base, off, data, last = (batch.column(c)[k].as_py() for c in range(5))
+                found = record(path, off, data, 0, len(data))
+                # Without an end in the rest of the archive, it is no record.
+                yield _batch([(path, base, *found[2:])] if found and (found[3] is not None or not last) else [])
+
+    done = None
+    while True:
+        limit *= 4
+        size = lambda r, n=limit: F.least(F.lit(n), F.col("length") - r["off"])
+        cut = F.transform("all", lambda r: F.struct(r["base"].alias("base"), r["off"].alias("off"), F.substring(F.col("content"), (r["off"] + 1).cast("int"), size(r).cast("int")).alias("data"), (r["off"] + size(r) >= F.col("length")).alias("last")))
+        slices = _holding(files, records, "base", "off").select("path", F.explode(cut).alias("x")).select("path", "x.*")
+        found = written(slices.mapInArrow(look, RECORD), "warc-candidates")
+        whole, records = found.where("nxt is not null"), found.where("nxt is null")
+        done = whole if done is None else done.unionByName(whole)
+        if records.isEmpty():
+            return done
+
+
+def _long_payloads(files: DataFrame, records: DataFrame) -> DataFrame:
+    """Digests of payloads that reach beyond the bytes a piece has, from the archives that hold such."""
+    spans = _holding(files, records, *[c for c in records.columns if c not in ("path", "digest")])
+    done = spans.select("path", F.explode(F.transform("all", lambda r: F.struct(r.alias("r"), base32_sha1(F.substring(F.col("content"), (r["start"] + 1).cast("int"), r["size"].cast("int"))).alias("digest")))).alias("x"))
     return done.select("path", "x.r.*", "x.digest").select(*records.columns)
 
 

@@ -287,3 +287,25 @@ def test_warc_small_pieces(spark, tmp_path, piece, overlap):
     assert len(records) == len(PAGES)
     assert sorted(r.page_id for r in records if r.kind == "response" and r.page_id != "null") == sorted(str(p[0]) for p in expected_pages() if p[3] == "response" and p[0] is not None)
     assert all(r.digest == r.claimed for r in records if r.kind == "response")
+
+
+@pytest.mark.parametrize("size", [70_000, 1_500_000])
+def test_warc_long_headers(spark, size):
+    """A header of any length is read, first in its archive or between others, and with record headers in the url."""
+    long = ("data:," + "WARC/1.1 Content-Length: 3 " * size)[:size]
+    pages = [(k, long if k in (0, 7) else f"http://x/{k}", page(k) if k % 3 else "same") for k in range(30)] + [(30, "u" * 70_000, "y" * 3_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.payload_digest for r in warc.pages_through_archives(df, records_per_archive=20).collect()}
+    assert got == {k: base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() for k, _, html in pages}
+
+
+def test_warc_broken_chain(spark, tmp_path):
+    """An archive whose records do not lead to its end is an error, not a shorter result."""
+    whole = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    for name, data in (("whole", whole * 2), ("cut", whole + whole[:-6]), ("none", b"no archive"), ("gap", whole + b"x" + whole)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+    assert warc.read_records(spark, f"file://{tmp_path}/whole").count() == 2
+    for name in ("cut", "none", "gap"):
+        with pytest.raises(ValueError, match="a.warc"):
+            warc.read_records(spark, f"file://{tmp_path}/{name}")
