@@ -4,7 +4,8 @@ Each text gives typed parts with character spans: assignments of secrets, access
 hexadecimal runs, and weaker parts (identifiers, bare secret-like strings, endpoints) that alone
 prove nothing. Within a scope (paragraphs, cut at blank lines) the sorted weak candidates are
 interval-joined with the sorted complementary parts by binary search: a weak candidate is reported
-only if a part that complements it lies within ``reach`` characters in the same scope.
+only if a part that complements it lies in the same scope, at any distance unless a ``reach`` in
+characters is given.
 
 Defined cases: a null or empty text has no spans, and base_sha256 is that of the empty string; equal
 or null ids each give their own row; an empty table gives an empty result; extra columns are
@@ -65,32 +66,32 @@ def weak_parts(text: str, low: bytes, strong: list[tuple[str, int, int]]) -> lis
     return parts
 
 
-def link(text: str, strong: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, int]]:
-    """The weak parts with a complementary part within ``reach`` characters of the same scope."""
+def link(text: str, strong: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], reach: int | None) -> list[tuple[str, int, int]]:
+    """The weak parts with a complementary part in the same scope, within ``reach`` characters if it is not None."""
     if not weak:
         return []
     cuts = [m.start() for m in _BLANK.finditer(text)]
+    reach = len(text) if reach is None else reach
+    # Parts of a kind do not overlap, so their starts and ends are both sorted.
     starts: dict[str, list[int]] = {}
-    longest = {k: 0 for k in ORDER}
-    spans: dict[str, list[tuple[int, int]]] = {}
+    ends: dict[str, list[int]] = {}
     for kind, a, b in sorted(strong + weak, key=lambda p: p[1]):
         starts.setdefault(kind, []).append(a)
-        spans.setdefault(kind, []).append((a, b))
-        longest[kind] = max(longest[kind], b - a)
+        ends.setdefault(kind, []).append(b)
     kept = []
     for kind, a, b in weak:
         k = bisect_left(cuts, a)
         low, high = (cuts[k - 1] if k else 0), (cuts[k] if k < len(cuts) else len(text))
         for other in WEAK[kind][1]:
-            first = bisect_left(starts.get(other, []), max(low, a - reach - longest[other]))
-            last = bisect_right(starts.get(other, []), min(high, b + reach))
-            if any(y >= a - reach and (x >= b or y <= a) for x, y in spans.get(other, [])[first:last]):
+            x, y = starts.get(other, []), ends.get(other, [])
+            before, after = bisect_right(y, a) - 1, bisect_left(x, b)
+            if (before >= 0 and x[before] >= low and y[before] >= a - reach) or (after < len(x) and x[after] <= min(high, b + reach)):
                 kept.append((kind, a, b))
                 break
     return kept
 
 
-def scan(text: str, reach: int = 200) -> tuple[int, int, int, str, str]:
+def scan(text: str, reach: int | None = 200) -> tuple[int, int, int, str, str]:
     low = text.encode("utf-8", "surrogatepass").lower()
     base = sorted(base_parts(text, low), key=lambda p: (p[1], ORDER[p[0]]))
     found = sorted(base + link(text, base, weak_parts(text, low, base), reach), key=lambda p: (p[1], ORDER[p[0]]))
@@ -99,8 +100,8 @@ def scan(text: str, reach: int = 200) -> tuple[int, int, int, str, str]:
     return (*counts, hashlib.sha256(joined.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in found))
 
 
-def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
-    """A row per document with the counts, the digest of the base spans and all spans."""
+def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
+    """A row per document with the counts, the digest of the base spans and all spans; weak parts link within the whole scope unless a reach is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]

@@ -202,6 +202,27 @@ def test_weak_parts_need_partners():
     assert kinds(f"user: someone {bare} https://host.example/") == {"weak_id", "weak_secret", "endpoint"}
 
 
+def test_weak_parts_link_within_the_scope(spark):
+    """The operator links at any distance within a scope and not beyond it."""
+    key, bare = "AKIA" + "ABCDEFGHIJKLMNOP", "wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY"
+    far = "x " * 5000
+    texts = [f"{key} {far}{bare}", f"{bare} {far}{key}", f"{key} {far}\n\n{bare}", f"{bare} {far}\n \n{key}", f"user: someone {far}{bare}"]
+    kinds = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in secrets.secret_scan(frame(spark, texts)).collect()}
+    assert kinds == {0: {"access", "weak_secret"}, 1: {"access", "weak_secret"}, 2: {"access"}, 3: {"access"}, 4: {"weak_id", "weak_secret"}}
+
+
+def test_weak_parts_are_those_of_all_pairs():
+    rnd = random.Random(5)
+    pieces = ["AKIA" + "ABCDEFGHIJKLMNOP", "wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY", "user: someone", "https://host.example/", "token = abcdefghijkl", "0123456789abcdef", "\n\n", "and so on "]
+    for _ in range(300):
+        text, reach = " ".join(rnd.choices(pieces, k=rnd.randrange(1, 14))), rnd.choice([None, 0, 10, 40])
+        low = text.encode().lower()
+        strong = secrets.base_parts(text, low)
+        weak = secrets.weak_parts(text, low, strong)
+        near = lambda p, q: (q[2] <= p[1] or q[1] >= p[2]) and "\n\n" not in text[min(p[1], q[1]) : max(p[2], q[2])] and (reach is None or max(p[1] - q[2], q[1] - p[2]) <= reach)  # noqa: B023, E731
+        assert secrets.link(text, strong, weak, reach) == [p for p in weak if any(q[0] in secrets.WEAK[p[0]][1] and near(p, q) for q in strong + weak)]
+
+
 def test_secret_nulls_and_empty(spark):
     out = secrets.secret_scan(frame(spark, [None, ""], [None, None]).withColumn("spans", F.lit(1)))
     assert [tuple(r) for r in out.collect()] == [(None, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")] * 2
