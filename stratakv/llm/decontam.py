@@ -10,8 +10,11 @@ shingle multisets, ``min_similarity`` or more.
 
 Windows whose known shingles weigh too little to reach the similarity with any item of that length
 cannot pass the verification, and get no fingerprint. The items are read in blocks of at most
-``block_items`` items and ``block_bytes`` bytes, one pass over the documents for each block, so what
-is broadcast is bounded however large the benchmark is.
+``block_items`` items and ``block_bytes`` bytes, one pass over the documents for each block. Weights
+are those of the whole benchmark: shingles of a single item weigh as much as unknown ones, so a block
+needs the counts of those that several items hold, 16 bytes each, which one aggregation gives.
+Results do not depend on the blocks. Beside these counts, what is broadcast is bounded however large
+the benchmark is.
 
 Defined cases: a null or empty text has no windows; a null or wordless item matches nothing; an item
 of fewer than five words is one shingle of all its words; repeated documents or items each count;
@@ -23,9 +26,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,9 @@ FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: The table that says "perhaps known" has 2**TABLE_BITS places (4 MB).
 TABLE_BITS = 22
 
+#: No shingles that several items hold.
+NONE = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
 
 def bits_of(values: np.ndarray) -> np.ndarray:
     """A row of 64 signs for each value: 1.0 for a set bit, -1.0 for a clear one."""
@@ -54,11 +62,25 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
+def held_by(values: np.ndarray, several: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many items hold each shingle, 1 for those that are not among the shingles of several items."""
+    shingles, counts = several
+    if not len(shingles):
+        return np.ones(len(values), np.int64)
+    at = np.minimum(np.searchsorted(shingles, values), len(shingles) - 1)
+    return np.where(shingles[at] == values, counts[at], 1)
+
+
 class Items:
-    """The fingerprints, weights and block lookups of one block of benchmark items."""
+    """The fingerprints, weights and block lookups of one block of benchmark items.
 
-    def __init__(self, items: list[tuple[int, bytes]], total: int, holders: dict[int, int], radius: int) -> None:
+    ``holders`` counts the items that hold each shingle of the block, ``others`` (sorted shingles and
+    their counts) those of shingles that several items hold, whatever their block.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]], total: int, holders: dict[int, int], radius: int, others: tuple[np.ndarray, np.ndarray] = NONE) -> None:
         self.radius, self.top = radius, 1 + math.log(max(1, total))
+        self.total, self.others = total, others
         self.weights = {h: 1 + math.log(total / n) for h, n in holders.items()}
         self.values = np.sort(np.fromiter(holders, np.uint64, len(holders)))
         self.perhaps = np.zeros(1 << TABLE_BITS, bool)
@@ -86,6 +108,15 @@ class Items:
                     table.setdefault(p, []).append(i)
                 own["index"].append({k: np.array(v) for k, v in table.items()})
 
+    def weigh(self, values: list[int]) -> np.ndarray:
+        """The weight of each shingle over the whole benchmark."""
+        out = np.array([self.weights.get(v, 0.0) for v in values])
+        rest = np.flatnonzero(out == 0)
+        if len(rest):
+            counts = held_by(np.array([values[k] for k in rest.tolist()], np.uint64), self.others)
+            out[rest] = [1 + math.log(self.total / n) if n > 1 else self.top for n in counts.tolist()]
+        return out
+
     def known(self, values: np.ndarray) -> np.ndarray:
         """Where the values are shingles of items: a small table first, then a search."""
         hit = np.flatnonzero(self.perhaps[(values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
@@ -163,7 +194,7 @@ def fingerprints(values: np.ndarray, starts: np.ndarray, n: int, items: Items) -
     for run in np.split(np.arange(len(starts)), cut):
         low, high = int(starts[run[0]]), int(starts[run[-1]]) + n
         own = values[low:high]
-        weights = np.array([items.weights.get(v, items.top) for v in own.tolist()])
+        weights = items.weigh(own.tolist())
         sums = np.zeros((len(own) + 1, 64))
         np.cumsum(bits_of(own) * weights[:, None], axis=0, out=sums[1:])
         at = starts[run] - low
@@ -172,13 +203,15 @@ def fingerprints(values: np.ndarray, starts: np.ndarray, n: int, items: Items) -
 
 
 def weighted_jaccard(a: Counter, b: Counter, items: Items) -> float:
-    both = sum(items.weights.get(h, items.top) * min(n, b[h]) for h, n in a.items() if h in b)
-    either = sum(items.weights.get(h, items.top) * n for h, n in (a | b).items())
+    union = a | b
+    weights = dict(zip(union, items.weigh(list(union)).tolist(), strict=True))
+    both = sum(weights[h] * min(n, b[h]) for h, n in a.items() if h in b)
+    either = sum(weights[h] * n for h, n in union.items())
     return both / either if either else 0.0
 
 
 def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in order of id, read one partition at a time, in blocks of a bounded size."""
+    """The items as they are stored, read one partition at a time, in blocks of a bounded size."""
     block: list[tuple[int, bytes]] = []
     size = 0
     for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
@@ -194,26 +227,49 @@ def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Ite
         yield block
 
 
+def several_items(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than one item holds, sorted, and how many items hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0, SLICE_BYTES):
+            own = [np.unique(x) for x in Words(batch.column(0), FOLD).shingles(SHINGLE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype(np.uint64).view(np.int64))], names=["h"])
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("text").cast("string"))
+    found = items.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shingles = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found.column("n").to_numpy()[order]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.8, radius: int = 15, block_items: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and item that some window of the document resembles.
 
-    A block takes its weights from its own items, so no vocabulary of the whole benchmark is
-    collected; a benchmark of one block weighs over all its items.
+    Weights are those of all items, however the items are dealt to blocks.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = None
-    for block in item_blocks(benchmark, block_items, block_bytes):
-        found = rows.mapInArrow(_finder(docs, block, radius, min_similarity), SCHEMA)
+    out, blocks = None, item_blocks(benchmark, block_items, block_bytes)
+    ahead = list(islice(blocks, 2))
+    total, several = len(ahead[0]) if ahead else 0, None
+    if len(ahead) > 1:
+        total = benchmark.where("item_id is not null and text is not null").count()
+        several = docs.sparkSession.sparkContext.broadcast(several_items(benchmark))
+    for block in chain(ahead, blocks):
+        found = rows.mapInArrow(_finder(docs, block, total, several, radius, min_similarity), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def _finder(docs: DataFrame, block: list[tuple[int, bytes]], radius: int, least: float):
+def _finder(docs: DataFrame, block: list[tuple[int, bytes]], total: int, several: Broadcast | None, radius: int, least: float):
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders = Counter(h for _, text in shared.value for h in set(shingle_hashes(word_hashes(text, FOLD), SHINGLE).tolist()))
-        items = Items(shared.value, len(shared.value), holders, radius)
+        others = several.value if several else NONE
+        if several:
+            own = np.fromiter(holders, np.uint64, len(holders))
+            holders = dict(zip(own.tolist(), held_by(own, others).tolist(), strict=True))
+        items = Items(shared.value, total, holders, radius, others)
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3]
         for batch in sliced(batches, 1, SLICE_BYTES):
             out, ids, words = [], batch.column(0), Words(batch.column(1), FOLD)

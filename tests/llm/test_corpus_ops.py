@@ -227,6 +227,19 @@ def test_blocks_find_all_within_radius():
     assert near == {(a, b) for a in range(len(prints)) for b in range(20) if int(prints[a] ^ table["prints"][b]).bit_count() <= 15}
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    """Shingles that items of other blocks hold weigh the same in every block."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    shared = [" ".join(word() for _ in range(12)) for _ in range(4)]
+    texts = [" ".join([*(word() for _ in range(60)), *([shared[k % 4]] if k >= 20 else [])]) for k in range(60)]
+    bench = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (61, None)], "item_id long, text string")
+    docs = [(k, " ".join([*texts[k].split()[: 60 - n], *shared[k % 4].split()[:n]])) for k in range(20) for n in (4, 6, 8, 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = [sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.n_windows) for r in decontam.decontaminate(df, b, min_similarity=0.6, block_items=n).collect()) for b, n in ((bench, 20_000), (bench, 7), (bench.orderBy(F.desc("item_id")), 7))]
+    assert len(found[0]) > 20 and found[0] == found[1] == found[2]
+
+
 def test_packing_is_best_fit():
     rnd = random.Random(14)
     for _ in range(50):
