@@ -2,8 +2,12 @@
 
 Lines with at least one word form a sequence; each has a small feature vector. Viterbi decoding
 gives the best label sequence, and a document is kept if the share of its words on content lines
-reaches ``min_content``. The field is fitted on a bounded sample of labelled documents, every line
-taking the label of its document.
+reaches ``min_content``.
+
+The field is fitted on the lines of at most ``max_docs`` labelled documents, whole ones. A line is
+boilerplate if it stands between ``min_contexts`` or more different pairs of neighbours somewhere in
+the corpus (menus and notices do; a copied passage keeps its neighbours), or if it occurs in documents
+of low quality alone; all others are content. So both labels meet within one document.
 
 Defined cases: a null or empty text has no words and fails the base rules (kept is false); repeated
 rows are judged alike, each on its own; an empty table gives an empty result; input columns with the
@@ -28,6 +32,9 @@ MARKS = b"!|"
 
 N_FEATURES = 9
 
+#: Lines of a segment when fitting.
+SEGMENT = 64
+
 RESULT = T.StructType(
     [T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType())]
@@ -35,7 +42,7 @@ RESULT = T.StructType(
 
 #: Used where there are no labelled rows: symbol-heavy, capital and repetitive lines are boilerplate.
 DEFAULT_MODEL = {
-    "weights": [2.0, 0.5, -12.0, -3.0, -2.0, 1.0, 0.3, -0.5, -8.0],
+    "weights": [2.0, 0.5, -12.0, -6.0, -2.0, 1.0, 0.3, -0.5, -8.0],
     "transitions": [[0.5, -0.5], [-0.5, 0.5]],
 }
 
@@ -111,26 +118,22 @@ def viterbi(scores: list[float], transitions: list[list[float]]) -> list[bool]:
     return labels[::-1]
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.15, penalty: float = 1e-3) -> dict:
-    """Maximise the regularised log-likelihood of line labels with forward-backward gradients.
+def fit_field(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, rate: float = 0.15, penalty: float = 1e-3) -> dict:
+    """Maximise the regularised log-likelihood of the label sequences with forward-backward gradients.
 
-    Both classes count the same in total. Without sequences of both classes the default model stands.
+    Sequences go in segments of SEGMENT lines, so that one very long document does not pad all others.
+    Without lines of both labels the default model stands.
     """
-    if not sequences or len(set(labels)) < 2:
+    cut = [(s[k : k + SEGMENT], y[k : k + SEGMENT]) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), SEGMENT)]
+    if len({int(v) for _, own in cut for v in own}) < 2:
         return DEFAULT_MODEL
-    longest = max(map(len, sequences))
-    x = np.zeros((len(sequences), longest, N_FEATURES))
-    mask = np.zeros((len(sequences), longest), bool)
-    for i, s in enumerate(sequences):
-        x[i, : len(s)] = s
-        mask[i, : len(s)] = True
-    y = np.array(labels, float)[:, None] * np.ones((1, longest))
-    share = np.mean(labels)
-    per_doc = np.where(np.array(labels) == 1, 0.5 / share, 0.5 / (1 - share))[:, None] / mask.sum(1, keepdims=True)
-    gold_pairs = np.zeros((2, 2))
-    both = mask[:, 1:] & mask[:, :-1]
-    for c in (0, 1):
-        gold_pairs[c, c] = (per_doc * (both & (y[:, 1:] == c))).sum()
+    longest = max(len(s) for s, _ in cut)
+    x = np.zeros((len(cut), longest, N_FEATURES))
+    mask, y = np.zeros((len(cut), longest), bool), np.zeros((len(cut), longest))
+    for i, (s, own) in enumerate(cut):
+        x[i, : len(s)], y[i, : len(s)], mask[i, : len(s)] = s, own, True
+    pairs_of = lambda a, b: (mask[:, 1:] & (y[:, :-1] == a) & (y[:, 1:] == b)).sum()
+    gold_pairs = np.array([[pairs_of(a, b) for b in (0, 1)] for a in (0, 1)], float)
     w, t = np.zeros(N_FEATURES), np.zeros((2, 2))
     moments = [np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)]
     for step in range(1, steps + 1):
@@ -146,11 +149,11 @@ def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 150,
         for k in range(longest - 2, -1, -1):
             ahead = node[:, k + 1] + backward[:, k + 1]
             joint = forward[:, k, :, None] + t[None] + ahead[:, None, :] - total[:, None, None]
-            pairs += np.where(mask[:, k + 1, None, None], np.exp(np.minimum(joint, 0)) * per_doc[:, :, None], 0).sum(0)
+            pairs += np.where(mask[:, k + 1, None, None], np.exp(np.minimum(joint, 0)), 0).sum(0)
             step_back = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
             backward[:, k] = np.where(mask[:, k + 1, None], step_back, backward[:, k + 1])
         content = np.exp(np.minimum(forward[:, :, 1] + backward[:, :, 1] - total[:, None], 0))
-        gradient = np.concatenate([((per_doc * mask * (y - content))[:, :, None] * x).sum((0, 1)), (gold_pairs - pairs).ravel()]) / len(sequences)
+        gradient = np.concatenate([((mask * (y - content))[:, :, None] * x).sum((0, 1)), (gold_pairs - pairs).ravel()]) / len(cut)
         gradient -= penalty * np.concatenate([w, t.ravel()])
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
@@ -159,22 +162,34 @@ def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 150,
     return {"weights": w.tolist(), "transitions": t.tolist()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 600, max_chars: int = 20_000, max_lines: int = 64) -> dict:
-    """Fit on at most ``max_docs`` labelled documents of at most ``max_chars`` characters, chosen by a hash of their id.
+def line_contexts(docs: DataFrame, lines: list[str], text_col: str = "text") -> dict[str, int]:
+    """How many different pairs of neighbours each of the lines has in all documents, about (a sketch of a fixed size).
 
-    ``max_lines`` bounds the lines of one document that take part. The three bounds concern fitting
-    alone; every document is judged whole.
+    Lines without words are left out. Only hashes of lines leave a document, and only those of ``lines``.
     """
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.xxhash64("line").alias("h"))
+    split = F.filter(F.transform(F.split(F.col(f"`{text_col}`").cast("string"), "\n"), lambda x: F.xxhash64(F.trim(x, F.lit(SPACES.decode())))), lambda h: h != F.xxhash64(F.lit("")))
+    hashed = docs.select(split.alias("lines"))
+    near = F.transform("lines", lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1)).alias("context")))
+    found = hashed.select(F.explode(near).alias("x")).select("x.h", "x.context").join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.approx_count_distinct("context").alias("n"))
+    return {r.line: r.n for r in wanted.join(found, "h").select("line", "n").collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 600, min_contexts: int = 4) -> dict:
+    """Fit on at most ``max_docs`` labelled documents, chosen by a hash of their id; contexts are counted in all documents."""
     chosen = {r[0]: r[1] for r in labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()}
     if not chosen:
         return DEFAULT_MODEL
-    sample = docs.where(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= max_chars)).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    sample = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").dropDuplicates(["doc_id"]).collect()
+    texts = {r.doc_id: [x.strip(SPACES).decode() for x in r.text.encode().split(b"\n") if x.split()] for r in sample}
+    good = {x for d, own in texts.items() if chosen[d] != 0 for x in own}
+    several = line_contexts(docs, sorted({x for own in texts.values() for x in own}))
     sequences, classes = [], []
     for doc_id, text in sorted(sample):
-        rows = document_lines(text.encode())[0][:max_lines]
-        if rows:
-            sequences.append(np.array(rows))
-            classes.append(int(chosen[doc_id]))
+        if own := texts[doc_id]:
+            sequences.append(np.array(document_lines(text.encode())[0]))
+            classes.append(np.array([several.get(x, 0) < min_contexts and x in good for x in own], int))
     return fit_field(sequences, classes)
 
 
