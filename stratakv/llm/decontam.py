@@ -3,10 +3,11 @@
 Texts and items become words (ASCII letters in small form; other ASCII punctuation separates) and
 shingles of five words. A shingle weighs 1 + ln(items / items that hold it) for each
 occurrence; shingles that no item holds weigh the most. For each distinct item length, the windows
-of that many words of a document get 64-bit SimHash fingerprints. A fingerprint within ``radius`` of
-an item's agrees with it in at least one of ``radius + 1`` blocks of bits, so lookups by block find
-every item within the radius. Candidates are verified by the weighted Jaccard similarity of the
-shingle multisets, ``min_similarity`` or more.
+of that many words of a document get 64-bit SimHash fingerprints. Fingerprints are cut into four
+blocks of 16 bits: one within ``radius`` of an item's lies, in at least one block, within
+``radius // 4`` bits of it. So each block's index is asked for all values that near, which finds every
+item within the radius and few others. Candidates are verified by the weighted Jaccard similarity of
+the shingle multisets, ``min_similarity`` or more.
 
 Windows whose known shingles weigh too little to reach the similarity with any item of that length
 cannot pass the verification, and get no fingerprint. The items are read in blocks of at most
@@ -31,10 +32,10 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, mix, shingle_hashes, sliced, word_hashes
+from .common import SLICE_BYTES, Words, column, mix, shingle_hashes, sliced, small_batches, word_hashes, written
 
 SHINGLE = 5
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, end_word long, n_windows long"
@@ -45,6 +46,11 @@ FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: The table that says "perhaps known" has 2**TABLE_BITS places (4 MB).
 TABLE_BITS = 22
 
+#: Blocks of a fingerprint, and the bits of each.
+BLOCKS, BLOCK_BITS = 4, 16
+#: Windows whose lookups are made at a time.
+LOOKUP_WINDOWS = 512
+
 #: No shingles that several items hold.
 NONE = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
@@ -62,6 +68,12 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
+def flips(radius: int) -> np.ndarray:
+    """All values of a block's bits with at most ``radius`` set ones."""
+    values = np.arange(1 << BLOCK_BITS, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= radius]
+
+
 def held_by(values: np.ndarray, several: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How many items hold each shingle, 1 for those that are not among the shingles of several items."""
     shingles, counts = several
@@ -97,16 +109,14 @@ class Items:
             own = self.by_length.setdefault(len(words), {"ids": [], "counts": [], "weights": [], "prints": []})
             for k, v in (("ids", item), ("counts", counts), ("weights", weight), ("prints", int(pack_signs(sums)[0]))):
                 own[k].append(v)
-        edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.flips = flips(radius // BLOCKS)
         for own in self.by_length.values():
             own["prints"] = np.array(own["prints"], np.uint64)
+            parts = own["prints"].view(np.uint16).reshape(-1, BLOCKS)
             own["index"] = []
-            for shift, mask in self.blocks:
-                table: dict[int, list[int]] = {}
-                for i, p in enumerate((own["prints"] >> shift & mask).tolist()):
-                    table.setdefault(p, []).append(i)
-                own["index"].append({k: np.array(v) for k, v in table.items()})
+            for k in range(BLOCKS):
+                order = np.argsort(parts[:, k], kind="stable")
+                own["index"].append((order, parts[order, k]))
 
     def weigh(self, values: list[int]) -> np.ndarray:
         """The weight of each shingle over the whole benchmark."""
@@ -136,20 +146,30 @@ class Items:
             found[text[hit + size <= words.bounds[text + 1]]] = True
         return np.flatnonzero(found)
 
+    def candidates(self, prints: np.ndarray, own: dict) -> np.ndarray:
+        """Sorted numbers window * items + item of the pairs that agree in a block but for few bits."""
+        found, n = [np.empty(0, np.int64)], len(own["ids"])
+        for k, (order, values) in enumerate(own["index"]):
+            asked = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)[:, k]
+            if n <= len(self.flips):  # fewer items than values to ask for: each item is looked at instead
+                a, b = np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= self.radius // BLOCKS)
+            else:
+                probes = (asked[:, None] ^ self.flips[None, :]).ravel()
+                low, high = np.searchsorted(values, probes), np.searchsorted(values, probes, side="right")
+                count = high - low
+                a = np.repeat(np.arange(len(probes)) // len(self.flips), count)
+                b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            found.append(a.astype(np.int64) * n + order[b])
+        return np.unique(np.concatenate(found))
+
     def near(self, prints: np.ndarray, own: dict) -> Iterator[tuple[int, int]]:
         """(window, item) of all pairs within the radius, found by blocks."""
-        found: list[np.ndarray] = []
-        for (shift, mask), table in zip(self.blocks, own["index"], strict=True):
-            values = prints >> shift & mask
-            for v in np.unique(values).tolist():
-                if v in table:
-                    at, items = np.flatnonzero(values == v), table[v]
-                    a, b = np.repeat(at, len(items)), np.tile(items, len(at))
-                    close = popcount(prints[a] ^ own["prints"][b]) <= self.radius
-                    found.append(a[close] * len(own["ids"]) + b[close])
-        if found:
-            for x in np.unique(np.concatenate(found)).tolist():
-                yield divmod(x, len(own["ids"]))
+        n = len(own["ids"])
+        for k in range(0, len(prints), LOOKUP_WINDOWS):
+            some = prints[k : k + LOOKUP_WINDOWS]
+            a, b = np.divmod(self.candidates(some, own), n)
+            close = popcount(some[a] ^ own["prints"][b]) <= self.radius
+            yield from zip((a[close] + k).tolist(), b[close].tolist(), strict=True)
 
 
 def matches(hashes: np.ndarray, items: Items, least: float) -> list[tuple[int, float, int, int, int]]:
@@ -242,34 +262,62 @@ def several_items(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], found.column("n").to_numpy()[order]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.8, radius: int = 15, block_items: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.8, radius: int = 19, block_items: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and item that some window of the document resembles.
 
     Weights are those of all items, however the items are dealt to blocks.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out, blocks = None, item_blocks(benchmark, block_items, block_bytes)
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    out = None
+    for block in _blocks(docs.sparkSession, benchmark, block_items, block_bytes):
+        found = rows.mapInArrow(_finder(block, radius, min_similarity), SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.8, radius: int = 19, block_items: int = 20_000, block_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window resembles an item; no shuffle.
+
+    Of several blocks each reads what the one before it has left, written to the shared folder.
+    """
+    for k, block in enumerate(_blocks(docs.sparkSession, benchmark, block_items, block_bytes)):
+        left = written(docs, "without-block") if k else docs
+        # Python functions over batches take plain names alone, so columns go by number on the way.
+        rows = left.select(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], column(text_col).cast("string").alias("text"))
+        docs = rows.mapInArrow(_keeper(block, radius, min_similarity), rows.drop("text").schema).toDF(*docs.columns)
+    return docs
+
+
+class _Block:
+    """A block of items on its way to the executors, with what its weights need of the others."""
+
+    def __init__(self, spark: SparkSession, block: list[tuple[int, bytes]], total: int, several: Broadcast | None) -> None:
+        self.shared, self.total, self.several = spark.sparkContext.broadcast(block), total, several
+
+    def items(self, radius: int) -> Items:
+        holders = Counter(h for _, text in self.shared.value for h in set(shingle_hashes(word_hashes(text, FOLD), SHINGLE).tolist()))
+        others = self.several.value if self.several else NONE
+        if self.several:
+            own = np.fromiter(holders, np.uint64, len(holders))
+            holders = dict(zip(own.tolist(), held_by(own, others).tolist(), strict=True))
+        return Items(self.shared.value, self.total, holders, radius, others)
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, block_items: int, block_bytes: int) -> Iterator[_Block]:
+    small_batches(spark)
+    blocks = item_blocks(benchmark, block_items, block_bytes)
     ahead = list(islice(blocks, 2))
     total, several = len(ahead[0]) if ahead else 0, None
     if len(ahead) > 1:
         total = benchmark.where("item_id is not null and text is not null").count()
-        several = docs.sparkSession.sparkContext.broadcast(several_items(benchmark))
+        several = spark.sparkContext.broadcast(several_items(benchmark))
     for block in chain(ahead, blocks):
-        found = rows.mapInArrow(_finder(docs, block, total, several, radius, min_similarity), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
-
+        yield _Block(spark, block, total, several)
 
-def _finder(docs: DataFrame, block: list[tuple[int, bytes]], total: int, several: Broadcast | None, radius: int, least: float):
-    shared = docs.sparkSession.sparkContext.broadcast(block)
 
+def _finder(block: _Block, radius: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holders = Counter(h for _, text in shared.value for h in set(shingle_hashes(word_hashes(text, FOLD), SHINGLE).tolist()))
-        others = several.value if several else NONE
-        if several:
-            own = np.fromiter(holders, np.uint64, len(holders))
-            holders = dict(zip(own.tolist(), held_by(own, others).tolist(), strict=True))
-        items = Items(shared.value, total, holders, radius, others)
+        items = block.items(radius)
         kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3]
         for batch in sliced(batches, 1, SLICE_BYTES):
             out, ids, words = [], batch.column(0), Words(batch.column(1), FOLD)
@@ -279,3 +327,19 @@ def _finder(docs: DataFrame, block: list[tuple[int, bytes]], total: int, several
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "end_word", "n_windows"])
 
     return run
+
+
+def _keeper(block: _Block, radius: int, least: float):
+    """Batches without the rows that match; their last column is the text and does not go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = block.items(radius)
+        for batch in sliced(batches, -1, SLICE_BYTES):
+            words = Words(batch.column(batch.num_columns - 1), FOLD)
+            stays = np.ones(batch.num_rows, bool)
+            for d in items.worth(words).tolist():
+                stays[d] = not matches(words.of(words.hash, d), items, least)
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield rest.filter(pa.array(stays))
+
+    return run
