@@ -22,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 HEAD, MIDDLE, END = "### ", ": ", "</turn>\n"
 _TEXT = re.compile(r"[\\<#]")
 _ROLE = re.compile(r"[\\<#:]")
 _UNDO = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\<#:]|\\.)*): ((?:[^\\<#]|\\.)*)</turn>\n", re.S)
 
+#: Conversations that a task formats at a time; Arrow's batches have a bounded size too.
+AT_ONCE = 64
+
 SCHEMA = "conv_id long, formatted string, n_tokens long, loss_tokens array<int>, loss_spans array<int>"
 
 
@@ -85,6 +90,7 @@ def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> t
 
 def gather(conversations: DataFrame) -> DataFrame:
     """A row per conversation with its ordered turns."""
+    small_batches(conversations.sparkSession)
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
@@ -95,9 +101,13 @@ def format_chats(conversations: DataFrame, tokenizer: str, *, loss_role: str = "
     ``tokenizer`` is the path of a tokenizer file that every executor can open, or the JSON itself.
     """
 
+    return gather(conversations).mapInArrow(_formatter(tokenizer, loss_role), SCHEMA)
+
+
+def _formatter(tokenizer: str, loss_role: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
             rendered = [render(list(zip(r, t, strict=True)), loss_role) for r, t in zip(roles, texts, strict=True)]
             rows = []
@@ -108,11 +118,11 @@ def format_chats(conversations: DataFrame, tokenizer: str, *, loss_role: str = "
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "formatted", "n_tokens", "loss_tokens", "loss_spans"])
 
-    return gather(conversations).mapInArrow(run, SCHEMA)
+    return run
 
 
 def encoder(tokenizer: str) -> Callable[[list[str]], Iterator[list[tuple[int, int]]]]:
-    """A function from texts to the character offsets of their tokens, a few texts at a time."""
+    """A function from texts to the character offsets of their tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -122,16 +132,27 @@ def encoder(tokenizer: str) -> Callable[[list[str]], Iterator[list[tuple[int, in
     loaded.encode_special_tokens = True
 
     def encode(texts: list[str]) -> Iterator[list[tuple[int, int]]]:
-        for k in range(0, len(texts), 64):
-            for e in loaded.encode_batch(texts[k : k + 64], add_special_tokens=False):
-                yield e.offsets
+        for e in loaded.encode_batch(texts, add_special_tokens=False):
+            yield e.offsets
 
     return encode
 
 
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
+
+
+def chat_digests(conversations: DataFrame, tokenizer: str, *, loss_role: str = "assistant") -> DataFrame:
+    """digest() of format_chats(), in one Python step."""
+    make, read = _formatter(tokenizer, loss_role), _digester()
+    return gather(conversations).mapInArrow(lambda batches: read(make(batches)), DIGEST)
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """What the contract asks for, read back from the formatted text and the characters under the loss."""
+    return formatted.mapInArrow(_digester(), DIGEST)
+
 
+def _digester() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "formatted", "loss_spans"))
@@ -145,4 +166,4 @@ def digest(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], batch.column(batch.schema.get_field_index("n_tokens"))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return run

@@ -35,7 +35,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digest(chat.format_chats(turns, TOKENIZER)).drop("n_tokens")
+    return chat.chat_digests(turns, TOKENIZER).drop("n_tokens")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
