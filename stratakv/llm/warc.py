@@ -1,6 +1,10 @@
 """WARC archives: written by Spark's own writer, read back with boundary-chain verification.
 
-Archives are plain WARC 1.1 files in the shared folder. A reader's tasks look at pieces of an
+Archives are plain WARC 1.1 files in the shared folder, cut by bytes: records go to archives by classes
+of their size, so that no archive of several records exceeds ``archive_bytes`` by more than headers, and
+a record beyond that size has an archive of its own. Reading holds one archive in a task at a time. A
+payload above ``MAX_PAYLOAD`` does not fit a row of Spark's file reader and is refused with an error
+before anything is written. A reader's tasks look at pieces of an
 archive and emit, for every place that looks like a record header, the offset that its lengths lead
 to. Within a piece these links are followed to the first offset beyond it; between pieces pointer
 jumping from offset 0 doubles the distance each round. Only records on the chain from the start of
@@ -25,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import shared_folder, small_batches, written
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MAGIC = b"WARC/1."
 BREAK = "\r\n\r\n"
 
 #: A table of duplicate payloads up to this many rows (40 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
+#: Bytes of the largest payload: a task holds a few copies of it while it writes or reads it.
+MAX_PAYLOAD = 256 << 20
 
 RECORD = "path string, base long, off long, nxt long, start long, size long, kind string, page_id string, refers_to string, claimed string, digest string"
 
@@ -44,11 +50,22 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*pieces), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, records_per_archive: int = 2000, date: str = "2026-01-01T00:00:00Z") -> None:
-    """One record per page. Of equal payloads of at least ``min_bytes``, the one with the largest page_id is a response and the others revisit it."""
+def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, records_per_archive: int = 2000, archive_bytes: int = 64 << 20, date: str = "2026-01-01T00:00:00Z") -> None:
+    """One record per page. Of equal payloads of at least ``min_bytes``, the one with the largest page_id is a response and the others revisit it.
+
+    An archive has at most ``records_per_archive`` records.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace(F.col("url").cast("string"), r"[\r\n]", " "), F.lit("")).alias("url"), html.alias("payload"))
-    rows = rows.withColumns({"size": F.octet_length("payload"), "digest": base32_sha1(F.col("payload").cast("binary"))})
+    rows = rows.withColumns({"size": F.octet_length("payload"), "bytes": F.octet_length("payload").cast("long") + F.octet_length("url")})
+    # Size classes: so many records of a class as fit an archive.
+    bounds = [max(1, archive_bytes // records_per_archive)]
+    while bounds[-1] < archive_bytes:
+        bounds.append(min(archive_bytes, bounds[-1] * 16))
+    found = rows.agg(F.max("size").alias("most"), *[F.count_if((F.col("bytes") > low) & (F.col("bytes") <= high)).alias(f"n{k}") for k, (low, high) in enumerate(_ranges(bounds))]).first()
+    if (found.most or 0) > MAX_PAYLOAD:
+        raise ValueError(f"a payload of {found.most} bytes is more than {MAX_PAYLOAD}")
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     again = rows.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = written(again, "warc-duplicates")
     if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -65,7 +82,14 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, records
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit(BREAK), block,
     ]
-    rows.select(F.concat(*fields).alias("value")).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_archive).text(folder)
+    for k, (low, high) in enumerate(_ranges(bounds)):
+        if found[f"n{k}"] or not k:
+            part = rows.where((F.col("bytes") > low) & (F.col("bytes") <= high)).select(F.concat(*fields).alias("value"))
+            part.write.option("lineSep", BREAK).option("maxRecordsPerFile", max(1, min(records_per_archive, archive_bytes // high))).text(f"{folder}/size={k}")
+
+
+def _ranges(bounds: list[int]) -> list[tuple[int, int]]:
+    return list(zip([-1, *bounds], [*bounds, 2**62], strict=True))
 
 
 _LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]+)[ \t]*$", re.I | re.M)
@@ -119,7 +143,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_records(spark: SparkSession, folder: str, *, piece: int = 4 << 20, overlap: int = 1 << 20, header_limit: int = 1 << 16) -> DataFrame:
     """The records on the chain from the start of each archive, with the digest of the payload that was read."""
-    files = spark.read.format("binaryFile").load(folder)
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     cut = F.transform(F.sequence(F.lit(0), F.col("length") - 1, F.lit(piece)), lambda b: F.struct(b.cast("long").alias("base"), F.substring(F.col("content"), b.cast("int") + 1, F.lit(piece + overlap)).alias("data")))
     pieces = files.where("length > 0").select("path", F.explode(cut).alias("x")).select("path", "x.base", "x.data")
 
