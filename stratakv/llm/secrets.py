@@ -21,7 +21,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import SLICE_BYTES, column, sliced, small_batches
 
 #: Fixed values of the base contract, in its order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -106,9 +107,10 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
         kinds = [pa.int64()] * 3 + [pa.string()] * 2
-        for batch in batches:
+        for batch in sliced(batches, 1, SLICE_BYTES):
             rows = [scan(t or "", reach) for t in batch.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
