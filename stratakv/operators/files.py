@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom, keycodec
+from .ranges import next_keys, range_join
 
 
 def file_properties(records: DataFrame) -> DataFrame:
@@ -21,16 +22,19 @@ def sorted_run(records: DataFrame) -> DataFrame:
 def probes(lookups: DataFrame, files: DataFrame, hits: DataFrame) -> DataFrame:
     """Files that a newest-first search of level 0 asks for each key: those whose range holds it, from the newest down to the one that has it.
 
-    ``files`` is a manifest (bounded by the number of live files); ``hits`` has (key, hit_file).
+    ``hits`` has (key, hit_file). Keys and files meet by buckets of the key space.
     """
-    near = lookups.join(F.broadcast(files), (F.col("key") >= F.col("smallest")) & (F.col("key") <= F.col("largest")), "left")
-    return near.join(hits, "key", "left").groupBy("key").agg(F.sum(F.when(F.col("file_number") >= F.coalesce("hit_file", F.lit(0)), 1).otherwise(0)).cast("long").alias("probes"))
+    keys = lookups.select("key").distinct()
+    near = range_join(keys, files.select("file_number", "smallest", "largest")).join(hits, "key", "left")
+    asked = near.groupBy("key").agg(F.count_if(F.col("file_number") >= F.coalesce("hit_file", F.lit(0))).alias("probes"))
+    return keys.join(asked, "key", "left").select("key", F.coalesce("probes", F.lit(0)).cast("long").alias("probes"))
 
 
 def overlap_pairs(files: DataFrame) -> DataFrame:
-    """Pairs of files whose key ranges meet."""
-    a, b = (files.select(F.col("file_number").alias(f"file_{x}"), F.col("smallest").alias(f"lo_{x}"), F.col("largest").alias(f"hi_{x}")) for x in "ab")
-    return a.join(F.broadcast(b), (F.col("file_a") < F.col("file_b")) & (F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a"))).select("file_a", "file_b")
+    """Pairs of files whose key ranges meet: of two such files, one holds the start of the other."""
+    starts = files.select(F.col("file_number").alias("one"), F.col("smallest").alias("start"))
+    met = range_join(starts, files.select("file_number", "smallest", "largest"), "start").where("one <> file_number")
+    return met.select(F.least("one", "file_number").alias("file_a"), F.greatest("one", "file_number").alias("file_b")).distinct()
 
 
 def level_violations(files: DataFrame) -> DataFrame:
@@ -41,16 +45,12 @@ def level_violations(files: DataFrame) -> DataFrame:
 
 def candidates_by_level(lookups: DataFrame, files: DataFrame) -> DataFrame:
     """For levels above 0, at most one file of each level for each key, by its range."""
-    return lookups.join(F.broadcast(files.where("level > 0")), (F.col("key") >= F.col("smallest")) & (F.col("key") <= F.col("largest"))).select("key", "level", "file_number")
+    return range_join(lookups.select("key"), files.where("level > 0")).select("key", "level", "file_number")
 
 
 def lower_bound(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """The first key at or after each target, null past the end, from one order of both."""
-    keys = records.select("key").distinct().select(F.col("key").alias("at"), F.lit(1).alias("side"))
-    asked = targets.select(F.col("target").alias("at"), F.lit(0).alias("side")).distinct()
-    # The targets are a query set and are broadcast in full; keys keep only the least one beyond each.
-    found = keys.join(F.broadcast(asked.select(F.col("at").alias("target"))), F.col("at") >= F.col("target")).groupBy("target").agg(F.min("at").alias("key"))
-    return asked.select(F.col("at").alias("target")).join(found, "target", "left")
+    """The first key at or after each target, null past the end."""
+    return next_keys(records.select("key"), targets)
 
 
 def filter_bits(records: DataFrame, bits_per_key: int) -> DataFrame:

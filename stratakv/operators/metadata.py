@@ -15,7 +15,7 @@ def derived_edits(files: DataFrame) -> DataFrame:
 
 
 def counter_violations(edits: DataFrame) -> DataFrame:
-    """Edits in which a counter goes back. Metadata is small: one ordered pass over the edits."""
+    """Edits in which a counter goes back: one ordered pass in one task, over one row for each flush or compaction of a store."""
     order = Window.orderBy("edit_no")
     bad = None
     for c in COUNTERS:
@@ -49,8 +49,27 @@ def oldest_required_wal(log: DataFrame, flushed_seq: int) -> DataFrame:
     return log.where(F.col("seq") > flushed_seq).agg(F.min("wal_number").alias("oldest_wal"))
 
 
+#: Event numbers are below 2**EVENT_BITS.
+EVENT_BITS = 62
+
+
 def oldest_active(events: DataFrame) -> DataFrame:
-    """The least snapshot sequence still held after each event (event_no, seq, delta), null if none is."""
-    upto = events.select(F.col("event_no").alias("at")).join(F.broadcast(events), F.col("event_no") <= F.col("at"))
-    held = upto.groupBy("at", "seq").agg(F.sum("delta").alias("held"))
-    return held.groupBy(F.col("at").alias("event_no")).agg(F.min(F.when(F.col("held") > 0, F.col("seq"))).alias("oldest_active"))
+    """The least snapshot sequence still held after each event (event_no, seq, delta), null if none is.
+
+    Running counts give the stretches of events in which a sequence is held. A stretch is cut into
+    aligned stretches of powers of two, each of which keeps its least sequence; an event looks up those
+    that it lies in. Both are equi-joins, and no task sees more than one sequence's events.
+    """
+    by_event = Window.partitionBy("seq").orderBy("event_no")
+    counted = events.groupBy("seq", "event_no").agg(F.sum("delta").alias("delta"))
+    held = counted.select("seq", "event_no", F.sum("delta").over(by_event).alias("held"), F.coalesce(F.lead("event_no").over(by_event), F.lit(2**EVENT_BITS)).alias("until")).where("held > 0")
+    pieces = []
+    for k in range(EVENT_BITS):
+        first, end = F.shiftright(F.col("event_no") + (2**k - 1), k), F.shiftright("until", k)
+        piece = lambda odd, node, k=k, some=first < end: F.when(some & (odd % 2 == 1), F.struct(F.lit(k).alias("level"), node.alias("node")))
+        pieces += [piece(first, first), piece(end, end - 1)]
+    cut = held.select("seq", F.explode(F.array_compact(F.array(*pieces))).alias("x"))
+    least = cut.groupBy("x.level", "x.node").agg(F.min("seq").alias("seq"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("event_no", k).alias("node")) for k in range(EVENT_BITS)])
+    asked = events.select("event_no").distinct().select("event_no", F.explode(levels).alias("x")).select("event_no", "x.level", "x.node")
+    return asked.join(least, ["level", "node"], "left").groupBy("event_no").agg(F.min("seq").alias("oldest_active"))

@@ -43,6 +43,11 @@ def get(records: DataFrame, key: bytes, at: int | None = None) -> DataFrame:
     return state(records.where(F.col("key") == F.lit(key)), at)
 
 
+def exact(records: DataFrame, key: bytes, seq: int, kind: int) -> DataFrame:
+    """The record of exactly this key, sequence and kind; all three reach the scan as filters."""
+    return records.where((F.col("key") == F.lit(key)) & (F.col("seq") == F.lit(seq)) & (F.col("kind") == F.lit(kind)))
+
+
 def multi_get(records: DataFrame, keys: DataFrame, at: int | None = None) -> DataFrame:
     """EXTENSION: visible values of the keys in a DataFrame; absent keys have a null value."""
     found = state(records.join(keys.select("key").distinct(), "key", "left_semi"), at)

@@ -6,12 +6,14 @@ Keys leave as strings or lower-case hex, and every computed column has an explic
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom, keycodec
 from ..operators import files, metadata, mvcc
+from ..operators.ranges import range_join
 from ..sources.adapters import BATCHES_PER_FILE, FIRST_FILE, events_log, orders_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,15 +230,15 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""{LOG}, sizes AS (SELECT file_number, ((greatest(64, count(*) * 10) + 7) // 8) * 8 AS bits FROM rec GROUP BY 1), k AS (SELECT DISTINCT key FROM rec),
 hashed AS (SELECT key, {_FNV} AS h FROM k), {_BITS}, spread AS (SELECT key, file_number, ((lo + j * step) & 4294967295) % bits AS bit FROM stepped, sizes, range(6) r(j)),
-own AS (SELECT DISTINCT key, file_number FROM rec), present AS (SELECT DISTINCT file_number, bit FROM spread JOIN own USING (key, file_number)),
-seen AS (SELECT s.key AS key, s.file_number AS file_number, count(DISTINCT s.bit) = count(DISTINCT p.bit) AS maybe FROM spread s LEFT JOIN present p ON s.file_number = p.file_number AND s.bit = p.bit GROUP BY 1, 2)
+own AS (SELECT DISTINCT key, file_number FROM rec), present AS (SELECT DISTINCT file_number, bit FROM spread JOIN own USING (key, file_number)), {PROPS},
+seen AS (SELECT s.key AS key, s.file_number AS file_number, count(DISTINCT s.bit) = count(DISTINCT p.bit) AS maybe FROM spread s JOIN props o ON s.file_number = o.file_number AND s.key BETWEEN o.smallest AND o.largest LEFT JOIN present p ON s.file_number = p.file_number AND s.bit = p.bit GROUP BY 1, 2)
 SELECT s.file_number AS file_number, count(*) AS checks, count(*) FILTER (NOT maybe) AS useful_negatives, count(*) FILTER (o.key IS NOT NULL AND NOT maybe) AS false_negatives
 FROM seen s LEFT JOIN own o ON s.key = o.key AND s.file_number = o.file_number GROUP BY 1""")
 def bloom_useful_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every key asked of every file's filter: how often it saves a read, and that it never hides a key."""
+    """Every key asked of the filters of the files whose range holds it: how often they save a read, and that they never hide a key."""
     records = _records(spark, sf_dir)
     own = records.select("file_number", "key").distinct().withColumn("stored", F.lit(True))
-    asked = records.select("key").distinct().join(F.broadcast(records.select("file_number").distinct()))
+    asked = range_join(records.select("key").distinct(), files.file_properties(records)).select("key", "file_number")
     checked = files.filter_check(asked, files.filter_bits(records, 10), 10).join(own, ["file_number", "key"], "left")
     return checked.groupBy("file_number").agg(F.count("*").alias("checks"), F.count_if(~F.col("maybe")).alias("useful_negatives"), F.count_if(F.coalesce("stored", F.lit(False)) & ~F.col("maybe")).alias("false_negatives"))
 
@@ -260,6 +262,35 @@ def oversized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("bytes > 16384")
 
 
+@registered("SELECT c_custkey, cast(octet_length(encode(c_name || '/' || c_mktsegment)) AS bigint) AS bytes FROM customer WHERE octet_length(encode(c_name || '/' || c_mktsegment)) > 28")
+def oversized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys beyond a limit of 28 bytes, which a write refuses."""
+    key = F.concat_ws("/", "c_name", "c_mktsegment")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.octet_length(key).cast("long").alias("bytes")).where("bytes > 28")
+
+
+@registered(f"{LOG} SELECT key, seq, kind, value FROM rec WHERE (key, seq, kind) IN (SELECT (key, max(seq), kind) FROM rec WHERE key IN ('user:00000001', 'user:00000002') GROUP BY key, kind)")
+def exact_record_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest put and the newest delete of two keys, looked up by key, sequence and kind."""
+    records = _records(spark, sf_dir)
+    named = records.where(F.col("key").isin(b"user:00000001", b"user:00000002")).groupBy("key", "kind").agg(F.max("seq").alias("seq")).collect()
+    found = [mvcc.exact(records, bytes(r.key), r.seq, r.kind) for r in named] or [records.where("false")]
+    return reduce(DataFrame.unionByName, found).select(_text().alias("key"), "seq", _long("kind"), "value")
+
+
+@registered(f"""{LOG}, sizes AS (SELECT file_number, ((greatest(64, count(*) * 10) + 7) // 8) * 8 AS bits FROM rec GROUP BY 1), k AS (SELECT DISTINCT key FROM rec UNION ALL SELECT 'user:' || lpad(cast(i AS varchar), 8, '0') FROM range(900000, 900200) t(i)),
+hashed AS (SELECT key, {_FNV} AS h FROM k), {_BITS}, spread AS (SELECT key, ((lo + j * step) & 4294967295) % bits AS bit FROM stepped, range(6) r(j), sizes WHERE file_number = 2),
+present AS (SELECT DISTINCT bit FROM spread WHERE key IN (SELECT key FROM rec WHERE file_number = 2)), seen AS (SELECT key, count(*) = count(p.bit) AS maybe FROM spread s LEFT JOIN present p ON s.bit = p.bit GROUP BY 1)
+SELECT count(*) AS asked, count(*) FILTER (maybe) AS maybe FROM seen""")
+def table_may_contain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table's filter asked for all keys of the log and for 200 that no table has."""
+    records = _records(spark, sf_dir)
+    absent = spark.range(900_000, 900_200).select(F.format_string("user:%08d", "id").cast("binary").alias("key"))
+    asked = records.select("key").distinct().unionByName(absent).withColumn("file_number", F.lit(FIRST_FILE).cast("long"))
+    checked = files.filter_check(asked, files.filter_bits(records.where(F.col("file_number") == FIRST_FILE), 10), 10)
+    return checked.agg(F.count("*").alias("asked"), F.count_if("maybe").alias("maybe"))
+
+
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.derived_edits(files.file_properties(_records(spark, sf_dir)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 from pathlib import Path
@@ -13,7 +14,11 @@ MIB = 1 << 20
 
 @dataclass
 class Options:
-    """``durability``: "sync" makes each write durable, "buffered" waits for sync() or close()."""
+    """``durability``: "sync" makes each write durable, "buffered" waits for sync() or close().
+
+    ``target_sstable_bytes`` sizes the files of a compaction; a flush writes one file for each
+    memtable. ``restart_interval`` has no effect, since Parquet has its own encodings.
+    """
 
     path: Path | str
     durability: str = "sync"
@@ -37,5 +42,7 @@ class Options:
                 raise InvalidArgument(f"{f.name} must be greater than zero")
         if self.durability not in ("sync", "buffered"):
             raise InvalidArgument("durability is sync or buffered")
+        if self.restart_interval != type(self).restart_interval:
+            warnings.warn("restart_interval has no effect", stacklevel=3)
         self.path = Path(self.path)
         return self

@@ -1,10 +1,11 @@
 """Reads over small logs against a dictionary model."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from stratakv.operators import files, metadata, mvcc
+from stratakv.operators import files, metadata, mvcc, ranges
 
 LOG = "wal_number long, seq long, op_index long, kind byte, key binary, value string, expires_at_unix_ms long"
 
@@ -105,3 +106,51 @@ def test_expiration(spark):
     records = mvcc.fold(df)
     assert sorted(visible(mvcc.unexpired(records, 100))) == [b"b"]
     assert sorted(visible(mvcc.state(records))) == [b"a", b"b"]
+
+
+def test_range_join_is_that_of_all_pairs(spark, monkeypatch):
+    rnd = random.Random(1)
+    key = lambda: bytes(rnd.choice(b"ab\x00\xff") for _ in range(rnd.randrange(4)))
+    points = [(k, key()) for k in range(80)] + [(80, None)]
+    bounds = [(n, *sorted((key(), key()))) for n in range(40)] + [(40, b"b", b"a"), (41, None, b"z")]
+    p, r = spark.createDataFrame(points, "id long, key binary"), spark.createDataFrame(bounds, "file_number long, smallest binary, largest binary")
+    expected = sorted((i, n) for i, k in points for n, a, b in bounds if k is not None and a is not None and a <= k <= b)
+    for cuts in (4096, 5):
+        monkeypatch.setattr(ranges, "MAX_CUTS", cuts)
+        joined = ranges.range_join(p, r)
+        assert sorted((x.id, x.file_number) for x in joined.collect()) == expected
+        assert "NestedLoop" not in joined._jdf.queryExecution().toString()
+    assert ranges.range_join(p, r.where("false")).count() == ranges.range_join(p.where("false"), r).count() == 0
+
+
+def test_lower_bound_in_blocks(spark, monkeypatch):
+    rnd = random.Random(2)
+    key = lambda: bytes(rnd.choice(b"ab\x00\xff") for _ in range(rnd.randrange(5)))
+    keys, targets = [(key(),) for _ in range(60)], [(key(),) for _ in range(40)] + [(None,), (b"\xff" * 9,)]
+    expected = {t: min((k for (k,) in keys if k >= t), default=None) if t is not None else None for (t,) in targets}
+    records, asked = spark.createDataFrame(keys, "key binary"), spark.createDataFrame(targets, "target binary")
+    for block in (100_000, 7):
+        monkeypatch.setattr(ranges, "BLOCK_TARGETS", block)
+        got = {None if r.target is None else bytes(r.target): None if r.key is None else bytes(r.key) for r in files.lower_bound(records, asked).collect()}
+        assert got == expected
+    assert files.lower_bound(records.where("false"), asked).where("key is not null").count() == files.lower_bound(records, asked.where("false")).count() == 0
+
+
+def test_oldest_active_is_that_of_running_counts(spark):
+    rnd = random.Random(3)
+    held, events, expected = Counter(), [], {}
+    for n in sorted(rnd.sample(range(2000), 150)):
+        free = [s for s, c in held.items() if c]
+        seq, delta = (rnd.choice(free), -1) if free and rnd.random() < 0.55 else (rnd.randrange(30), 1)
+        held[seq] += delta
+        events.append((n, seq, delta))
+        expected[n] = min((s for s, c in held.items() if c), default=None)
+    df = spark.createDataFrame(events, "event_no long, seq long, delta int")
+    assert {r.event_no: r.oldest_active for r in metadata.oldest_active(df).collect()} == expected and None in expected.values()
+    assert metadata.oldest_active(df.where("false")).count() == 0
+
+
+def test_probes_of_keys_outside(spark):
+    f = spark.createDataFrame([(2, b"a", b"m"), (3, b"g", b"z")], "file_number long, smallest binary, largest binary")
+    asked, hits = spark.createDataFrame([(b"0",), (b"h",), (b"z",), (b"h",)], "key binary"), spark.createDataFrame([(b"h", 3)], "key binary, hit_file long")
+    assert {bytes(r.key): r.probes for r in files.probes(asked, f, hits).collect()} == {b"0": 0, b"h": 1, b"z": 1}

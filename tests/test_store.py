@@ -5,6 +5,7 @@ import threading
 import pytest
 
 from stratakv.store import ClosedError, CorruptionError, Engine, InvalidArgument, IoError, LockedError, Options, WriteBatch, WriteStall, errors
+from stratakv.store import engine, manifest
 from stratakv.store.fs import FileSystem
 from stratakv.store.manifest import FileMeta, Version, VersionEdit, VersionSet, name, number_of
 from stratakv.store.records import frame, frames
@@ -269,6 +270,84 @@ def test_scan_compact_and_bulk_reads(store, spark):
     assert db.stats().level_table_probes[1] >= 2
 
 
+def test_compaction_into_disjoint_files(store, tmp_path):
+    """Small targets give several sorted files of level 1; reads, snapshots and a second compaction agree."""
+    db = store(target_sstable_bytes=3000)
+    for i in range(3):
+        batch = WriteBatch()
+        for k in range(200):
+            batch.put(b"key%03d" % k, b"%d-" % i + b"x" * 20)
+        db.write(batch)
+        db.flush()
+    held = db.snapshot()
+    db.put(b"key007", b"new")
+    db.compact()
+    level1 = db._set.version.levels[1]
+    assert len(level1) > 2 and not db._set.version.levels[0]
+    assert all(a.largest < b.smallest for a, b in zip(level1, level1[1:], strict=False)) and sum(f.entries for f in level1) == 201
+    assert (db.get(b"key007"), held.get(b"key007"), db.get(b"key199")[:1], db.get(b"zzz")) == (b"new", b"2-" + b"x" * 20, b"2", None)
+    held.release()
+    db.compact()
+    assert sum(f.entries for f in db._set.version.levels[1]) == db.state().count() == 200
+    numbers = {f.number for _, f in db._set.version.files()}
+    assert {n for p in (tmp_path / "db").iterdir() if (n := number_of(p.name, "sst"))} == numbers
+    db.close()
+    assert store(target_sstable_bytes=3000).get(b"key007") == b"new"
+
+
+def test_exact_records_and_table_filters(store):
+    db = store()
+    db.put(b"k", b"one")
+    db.write(WriteBatch().delete(b"k").put_with_expiration(b"m", b"two", 77))
+    db.flush()
+    ((_, f),) = db._set.version.files()
+    assert db.get_exact(f.number, b"k", 1, 1) == (b"one", None) and db.get_exact(f.number, b"k", 2, 0) == (None, None)
+    assert db.get_exact(f.number, b"m", 2, 1) == (b"two", 77)
+    assert db.get_exact(f.number, b"k", 1, 0) is db.get_exact(f.number, b"k", 3, 1) is None
+    assert db.may_contain(f.number, b"k") and db.may_contain(f.number, b"m") and not db.may_contain(f.number, b"zz")
+    with pytest.raises(InvalidArgument):
+        db.may_contain(99, b"k")
+
+
+def test_read_cache(store):
+    """A second read of a key asks no file's data; counters show it; older snapshots are not served newer versions."""
+    db = store()
+    db.put(b"k", b"one")
+    first = db.snapshot()
+    db.put(b"k", b"two")
+    db.delete(b"gone")
+    db.flush()
+    assert [db.get(b"k"), db.get(b"k"), db.get(b"gone"), first.get(b"k"), first.get(b"k"), db.get(b"k")] == [b"two", b"two", None, b"one", b"one", b"two"]
+    data = db.cache.snapshot()["data"]
+    assert data["hits"] >= 2 and data["admissions"] >= 2 and data["usage"] > 0 and db.cache.snapshot()["metadata"]["admissions"] == 1
+
+
+def test_tables_and_edits_are_checked(store, tmp_path, monkeypatch):
+    db = store()
+    table = engine.MemTable(1)
+    with pytest.raises(InvalidArgument, match="at least one"):
+        db.build_table(table, 90)
+    table.rows = {b"k": [(2, 1, b"", None), (2, 1, b"", None)]}
+    with pytest.raises(InvalidArgument, match="rise"):
+        db.build_table(table, 90)
+    db.put(b"k", b"v")
+    db.flush()
+    monkeypatch.setattr(manifest, "MAX_EDIT", 10)
+    with pytest.raises(InvalidArgument, match="exceeds"):
+        db._set.apply(VersionEdit())
+    monkeypatch.undo()
+    db.close()
+    path = next((tmp_path / "db").glob("*.sst"))
+    path.write_bytes(path.read_bytes() + b"x")
+    with pytest.raises(CorruptionError, match="size"):
+        store()
+
+
+def test_an_option_without_effect_warns(tmp_path):
+    with pytest.warns(UserWarning, match="restart_interval"):
+        Options(tmp_path, restart_interval=8).validated()
+
+
 def test_versions():
     m = lambda n, a, b: FileMeta(n, 1, a, b)
     old = Version().apply(VersionEdit().add_file(0, m(2, b"a", b"m")).add_file(0, m(3, b"h", b"z")))
