@@ -1,7 +1,7 @@
 """DuckDB SQL for the training-data queries that SQL can express whole.
 
-The others (a fitted field, hundreds of rules, fingerprints, packing, spans by patterns, edits) are
-held against plain versions in the tests.
+The others (a fitted field, hundreds of rules, fingerprints, packing, spans by patterns) are held
+against plain versions in the tests; what the contract fixes of the first two has queries of its own.
 """
 
 from __future__ import annotations
@@ -35,4 +35,29 @@ gone AS (SELECT DISTINCT doc_id, i + j AS k FROM win JOIN rep ON win.h = rep.h,
 each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
 SELECT w.doc_id AS doc_id, cast(len(ws) AS bigint) AS n_words, cast(len(ws) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op10_line_dedup": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS k, ls[i] AS line, {_WORDS.format("ls[i]")} AS ws FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT doc_id, k, len(ws) AS n, ws, array_to_string(ws, ' ') AS whole, doc_id * 10000000 + k AS pos FROM l WHERE len(ws) > 0),
+c AS (SELECT whole, any_value(ws) AS ws, min(pos) AS pos FROM w GROUP BY 1),
+v AS (SELECT whole, pos, i, array_to_string(ws[:i-1] || ws[i+1:], ' ') AS key FROM (SELECT whole, pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM c WHERE len(ws) >= 8)
+  UNION ALL SELECT whole, pos, 0, whole FROM c WHERE len(ws) >= 8),
+near AS (SELECT a.whole AS whole, min(b.pos) AS pos FROM v a JOIN v b ON a.key = b.key AND a.whole <> b.whole AND (a.i = b.i OR a.i = 0 OR b.i = 0) GROUP BY 1),
+r AS (SELECT doc_id, w.k AS k FROM w JOIN c ON w.whole = c.whole LEFT JOIN near ON w.whole = near.whole WHERE w.pos > c.pos OR w.pos > near.pos),
+left_ AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS t FROM l ANTI JOIN r USING (doc_id, k) GROUP BY 1),
+gone AS (SELECT doc_id, count(*) AS n, string_agg(cast(k AS varchar), ',' ORDER BY k) AS ks FROM r GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1)
+SELECT d.doc_id AS doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_lines, cast(coalesce(gone.n, 0) AS bigint) AS n_removed, coalesce(ks, '') AS removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN left_ ON d.doc_id = left_.doc_id""",
+    "quality_base_counts": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g JOIN twice USING (doc_id, gram), range(3) r(j) GROUP BY 1),
+lines AS (SELECT doc_id, count(line) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT w.doc_id AS doc_id, cast(len(ws) AS bigint) AS n_words, cast(length(array_to_string(ws, '')) AS bigint) AS word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+  cast(coalesce(lines.n, 0) AS bigint) AS n_dup_lines, cast(coalesce(covered.n, 0) AS bigint) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id LEFT JOIN lines ON w.doc_id = lines.doc_id""",
+    "license_base_places": f"""WITH w AS (SELECT doc_id, regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, CASE WHEN ws[i:i+1] = ['mit', 'license'] THEN 'mit' WHEN ws[i:i+1] = ['apache', 'license'] THEN 'apache' WHEN ws[i:i+2] = ['general', 'public', 'license'] THEN 'gpl' END AS label
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, 'license'))),
+f AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+SELECT w.doc_id AS doc_id, cast(len(ws) AS bigint) AS n_words, cast(coalesce(n, 0) AS bigint) AS n_base, cast(a AS bigint) AS first_word, cast(b AS bigint) AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN f ON w.doc_id = f.doc_id""",
 }

@@ -2,7 +2,8 @@
 
 Lines with at least one word form a sequence; each has a small feature vector. Viterbi decoding
 gives the best label sequence, and a document is kept if the share of its words on content lines
-reaches ``min_content``.
+reaches ``min_content``. Losing content costs more than keeping boilerplate: ``content_bias`` is added
+to the content score of each line.
 
 The field is fitted on the lines of at most ``max_docs`` labelled documents, whole ones. A line is
 boilerplate if it stands between ``min_contexts`` or more different pairs of neighbours somewhere in
@@ -30,7 +31,7 @@ LETTERS = UPPER + UPPER.lower()
 DIGITS = b"0123456789"
 MARKS = b"!|"
 
-N_FEATURES = 9
+N_FEATURES = 10
 
 #: Lines of a segment when fitting.
 SEGMENT = 64
@@ -42,7 +43,7 @@ RESULT = T.StructType(
 
 #: Used where there are no labelled rows: symbol-heavy, capital and repetitive lines are boilerplate.
 DEFAULT_MODEL = {
-    "weights": [2.0, 0.5, -12.0, -6.0, -2.0, 1.0, 0.3, -0.5, -8.0],
+    "weights": [1.0, 0.5, -5.0, -4.0, -2.0, 1.0, 0.3, -0.5, -4.0, 1.0],
     "transitions": [[0.5, -0.5], [-0.5, 0.5]],
 }
 
@@ -55,13 +56,14 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> list[float]:
     return [
         1.0,
         min(n, 64) / 64,
-        (len(line) - len(line.translate(None, SYMBOLS))) / chars,
+        min(1.0, (len(line) - len(line.translate(None, SYMBOLS))) / n),
         (len(line) - len(line.translate(None, UPPER))) / max(1, letters),
         (len(line) - len(line.translate(None, DIGITS))) / chars,
         len(set(words)) / n,
         float(words[-1][-1:] in b".!?"),
         float(seen),
-        (len(line) - len(line.translate(None, MARKS))) / chars,
+        min(1.0, (len(line) - len(line.translate(None, MARKS))) / n),
+        float(n >= 24),
     ]
 
 
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 600, min_contexts
     return fit_field(sequences, classes)
 
 
-def judge(text: bytes, model: dict, *, min_words: int = 50, max_repeat_percent: int = 50, min_content: float = 0.5) -> tuple:
+def judge(text: bytes, model: dict, *, min_words: int = 50, max_repeat_percent: int = 50, min_content: float = 0.5, content_bias: float = 0.7) -> tuple:
     """Base counts and verdict of one text, in the order of RESULT."""
     rows, sizes, words, dup_lines = document_lines(text)
     solid = text.translate(None, SPACES)
@@ -201,7 +203,7 @@ def judge(text: bytes, model: dict, *, min_words: int = 50, max_repeat_percent:
     failed = n < min_words or 100 * repeats > max_repeat_percent * n
     share = 0.0
     if rows:
-        labels = viterbi((np.array(rows) @ np.array(model["weights"])).tolist(), model["transitions"])
+        labels = viterbi((np.array(rows) @ np.array(model["weights"]) + content_bias).tolist(), model["transitions"])
         share = sum(s for s, good in zip(sizes, labels, strict=True) if good) / n
     symbols = len(solid) - len(solid.translate(None, SYMBOLS))
     return n, len(solid.decode("utf-8", "replace")), symbols, dup_lines, repeats, failed, not failed and share >= min_content, share

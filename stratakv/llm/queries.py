@@ -58,8 +58,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.line_dedup(read(spark, sf_dir, "documents")))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that the base rules fix, through its operator."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_rules(docs, quality.DEFAULT_MODEL).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that the base phrases fix, through its operator."""
+    return licenses.license_scan(read(spark, sf_dir, "documents")).drop("labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan, op10_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan, op10_line_dedup, quality_base_counts, license_base_places)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
