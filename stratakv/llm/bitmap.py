@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import small_batches
 
 #: 8 MB, whatever the number of keys; more keys only make "perhaps" more frequent.
 BITS = 1 << 26
@@ -17,16 +20,18 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (bits.bit_length() - 1))
 
 
-def bitmap_of(keys: DataFrame, bits: int = BITS) -> bytes:
+def bitmap_of(keys: DataFrame, bits: int = BITS, key: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> bytes:
     """Compressed bitmap of a column of longs without nulls; ``bits`` is a power of two.
 
-    Every task makes one of its own keys, four tasks join them, and the driver joins those four.
+    ``key`` makes the longs of a batch's rows in the same step, if they are no column. Every task marks
+    its own keys, four tasks join these bitmaps, and the driver joins those four.
     """
+    small_batches(keys.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            at = _places(np.ascontiguousarray(batch.column(0).to_numpy()), bits)
+            at = _places(np.ascontiguousarray(key(batch) if key else batch.column(0).to_numpy()), bits)
             np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield from _packed(marks)
 
@@ -61,7 +66,7 @@ class Bitmap:
         return (self.marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def left_join_sparse(rows: DataFrame, found: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, key: str = "key") -> DataFrame:
+def left_join_sparse(rows: DataFrame, found: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, key: str = "key") -> DataFrame:
     """rows left-joined with ``found`` (key and one column of array<int>) and put through ``finish``, where few rows have a partner.
 
     A bitmap of the partners' keys goes to every task. Rows that have none for sure skip the shuffle,
@@ -83,5 +88,6 @@ def left_join_sparse(rows: DataFrame, found: DataFrame, finish: Callable[[Iterat
             none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
             yield from finish(iter([pa.RecordBatch.from_arrays([*batch.columns, none], names=[*names, extra])]))
 
-    joined = rows.mapInArrow(joining, rows.schema).join(found, key, "left").select(*names, extra)
+    # A merge join puts the two Python steps into different stages, and so a task has one worker.
+    joined = rows.mapInArrow(joining, rows.schema).join(found.hint("merge"), key, "left").select(*names, extra)
     return joined.mapInArrow(finish, schema).unionByName(rows.mapInArrow(alone, schema))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +22,9 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SAME = bytes(range(256))
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a task works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a record batch between Spark and Python, unless the session sets its own; Spark's default is 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +125,7 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of that column's strings, one row at least."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.columns[column]), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(lengths) // limit
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -137,32 +141,96 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the record batches between Spark and Python, unless the session has a bound of its own.
+
+    Plans take the setting when they run, so it stays set for the session.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == _DEFAULT_BATCH:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+_DEFAULT_BATCH = "67108864b"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as the session names it; a temporary one where it names none."""
+    """The folder that the cluster shares, as the session names it.
+
+    Where it names none, a session on one machine gets a temporary one; on a cluster this is an error,
+    since executors would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stratakv-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
+#: Paths of the tables that scratch() deletes when it ends, innermost last.
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The rows written once as a table in the shared folder and read back: cuts the lineage and survives lost executors.
+
+    ``keep``: it outlives scratch().
+    """
     path = f"{shared_folder(df.sparkSession)}/stratakv/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that written() has made; only when everything that reads them is itself written."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that written() makes meanwhile; save what rests on them before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete what written() has left in the shared folder; only after all results that rest on it are saved."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stratakv")
+    _delete(spark, f"{shared_folder(spark)}/stratakv")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def new_name(wanted: str, *taken: str) -> str:
+    """A name like the wanted one that is not among those taken (names compare without case)."""
+    known = {x.lower() for x in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
 def drop_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """Without the columns that a result column of the same name replaces (names compare without case)."""
     taken = {x.lower() for x in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[column(c) for c in df.columns if c.lower() not in taken])
 
 
 def with_results(df: DataFrame, text_col: str, results: T.StructType, make: Callable[[], Callable[[list[bytes]], list[list]]], prefix: str = "") -> DataFrame:
@@ -174,21 +242,23 @@ def with_results(df: DataFrame, text_col: str, results: T.StructType, make: Call
     results = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in results])
     names = results.fieldNames()
     kept = drop_clashes(df, names)
-    source, at = "__text", len(kept.columns)
-    wide = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text_col}`").cast("string").alias(source))
+    at = len(kept.columns)
+    # Python functions over batches take plain names alone, so columns go by number on the way.
+    wide = df.select(*[column(c).alias(f"c{k}") for k, c in enumerate(kept.columns)], column(text_col).cast("string").alias("text"))
+    small_batches(df.sparkSession)
     kinds = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in sliced(batches, at, SLICE_BYTES):
-            columns = compute(byte_texts(batch.column(batch.schema.get_field_index(source))))
-            rest = [i for i in range(batch.num_columns) if batch.schema.field(i).name != source]
+            columns = compute(byte_texts(batch.column(at)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in rest] + [pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)],
-                names=[batch.schema.field(i).name for i in rest] + names,
+                [*batch.columns[:at], *[pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)]],
+                names=[*batch.schema.names[:at], *[f"r{k}" for k in range(len(names))]],
             )
 
-    return wide.mapInArrow(run, T.StructType([*kept.schema.fields, *results.fields]))
+    made = T.StructType([*wide.schema.fields[:at], *[T.StructField(f"r{k}", f.dataType) for k, f in enumerate(results)]])
+    return wide.mapInArrow(run, made).toDF(*kept.columns, *names)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import freed, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = written(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        now = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "small-star")
+        before, now = now, written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "small-star")
+        freed(before, large)
         if (new := _mark(now)) == mark:
             break
         mark = new
