@@ -35,6 +35,8 @@ N_FEATURES = 10
 
 #: Lines of a segment when fitting.
 SEGMENT = 64
+#: So many line hashes (8 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_LINES = 200_000
 
 RESULT = T.StructType(
     [T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -174,7 +176,9 @@ def line_contexts(docs: DataFrame, lines: list[str], text_col: str = "text") ->
     split = F.filter(F.transform(F.split(F.col(f"`{text_col}`").cast("string"), "\n"), lambda x: F.xxhash64(F.trim(x, F.lit(SPACES.decode())))), lambda h: h != F.xxhash64(F.lit("")))
     hashed = docs.select(split.alias("lines"))
     near = F.transform("lines", lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1)).alias("context")))
-    found = hashed.select(F.explode(near).alias("x")).select("x.h", "x.context").join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.approx_count_distinct("context").alias("n"))
+    # A line that a third of all documents hold shuffles nothing but sketches, where the lines asked for are few.
+    asked = F.broadcast(wanted.select("h")) if len(lines) <= BROADCAST_LINES else wanted.select("h")
+    found = hashed.select(F.explode(near).alias("x")).select("x.h", "x.context").join(asked, "h", "left_semi").groupBy("h").agg(F.approx_count_distinct("context").alias("n"))
     return {r.line: r.n for r in wanted.join(found, "h").select("line", "n").collect()}
 
 
