@@ -14,6 +14,8 @@ from .common import small_batches
 
 #: 8 MB, whatever the number of keys; more keys only make "perhaps" more frequent.
 BITS = 1 << 26
+#: Beyond so many keys a bitmap says "perhaps" too often, and joins take its place.
+MAX_KEYS = 1 << 24
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -70,8 +72,11 @@ def left_join_sparse(rows: DataFrame, found: DataFrame, finish: Callable[[Iterat
     """rows left-joined with ``found`` (key and one column of array<int>) and put through ``finish``, where few rows have a partner.
 
     A bitmap of the partners' keys goes to every task. Rows that have none for sure skip the shuffle,
-    and are picked and finished in one step, so that a task has one Python worker.
+    and are picked and finished in one step, so that a task has one Python worker. Where many rows have
+    a partner, all are joined. ``found`` is a written table.
     """
+    if found.count() > MAX_KEYS:
+        return rows.join(found.hint("merge"), key, "left").select(*rows.columns, *[c for c in found.columns if c != key]).mapInArrow(finish, schema)
     marks = rows.sparkSession.sparkContext.broadcast(bitmap_of(found.select(key)))
     at, names, (extra,) = rows.columns.index(key), rows.columns, [c for c in found.columns if c != key]
 
