@@ -1,16 +1,19 @@
 """Substring dedup: Rabin-Karp hashes of every window of a fixed number of words, counted in Spark.
 
-Every window of every document is hashed: a polynomial in 64-bit word hashes, all windows of a slice
-of documents at once from prefix sums. The hashes go to buckets by their high bits as packed blocks
-(seven bytes a window, and two for its distance from the slice's last window in the bucket), and each
-bucket counts its hashes by sorting. A bucket answers to the slice with the windows that are repeated;
-with the slice's table of documents they merge into maximal removal intervals.
+Every window of every document is hashed twice: polynomials in 64-bit word hashes to two bases, all
+windows of a slice of documents at once from prefix sums. The first hash's high bits choose a bucket;
+its low 16 bits and the 64 of the second go there in packed blocks (ten bytes a window, and two for
+its distance from the slice's last window in the bucket), and each bucket counts its hashes by
+sorting. So windows are held equal by 80 bits and those of the bucket's number: with 10^13 windows in
+10^6 buckets less than one false repetition in a thousand runs is to be expected. A bucket answers to
+the slice with the windows that are repeated; with the slice's table of documents they merge into
+maximal removal intervals.
 
 A slice is named by a hash of its documents' keys and lengths, so a task that runs again names it
 alike; an answer to a slice that no task describes is an error. Windows that repeat within one slice
 are known at once and are sent once, so a passage that a third of all documents hold sends one hash a
 slice, not one a document. The number of buckets follows
-the input, so a bucket's size does not.
+the input, so a bucket's size does not, and buckets are dealt to as many tasks.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all its words; rows with
 the same id and text are repetitions of each other and get the same result, and null ids are told
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import left_join_sparse
-from .common import Words, byte_texts, mix, sliced, written
+from .common import Words, byte_texts, column, mix, sliced, small_batches, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+SECOND_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 2**64))
 
 #: Characters of text for each bucket: about 1.4 million windows.
 BUCKET_CHARS = 8_000_000
@@ -40,7 +45,10 @@ BUCKET_CHARS = 8_000_000
 PART_CHARS = 64_000_000
 
 #: Bytes of text whose windows a task hashes at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+#: Bytes of a window's hash in a block.
+HASH_BYTES = 10
 
 #: Kinds of rows between mappers, buckets and parts.
 HASHES, KNOWN, REPEATED, TABLE = range(4)
@@ -65,17 +73,28 @@ def window_hashes(words: np.ndarray, size: int, up: np.ndarray, down: np.ndarray
 
 def row_keys(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """doc_id, text, and a key that names the pair."""
-    rows = docs.select(*more, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(*more, column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _blocks(slice_: int, hashes: np.ndarray, n_buckets: int) -> Iterator[tuple]:
-    """Rows of BLOCK for the windows of one slice: hashes by bucket, and those already known to repeat."""
+def ranks(hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs (hash, more) stand together, and where in it a new pair begins."""
     order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
+    ranked, extra = hashes[order], more[order]
     first = np.ones(len(ranked), bool)
     first[1:] = ranked[1:] != ranked[:-1]
-    counts = np.diff(np.append(np.flatnonzero(first), len(ranked)))
+    if (~first[1:] & (extra[1:] != extra[:-1])).any():  # one hash, but different pairs
+        order = np.lexsort((more, hashes))
+        first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, first
+
+
+def _blocks(slice_: int, hashes: np.ndarray, second: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Rows of BLOCK for the windows of one slice: hashes by bucket, and those already known to repeat."""
+    low = hashes.astype(np.uint16)
+    order, first = ranks(second, low)
+    counts = np.diff(np.append(np.flatnonzero(first), len(order)))
     repeated = np.zeros(len(hashes), bool)
     repeated[order] = np.repeat(counts > 1, counts)
     sent = np.zeros(len(hashes), bool)
@@ -90,8 +109,7 @@ def _blocks(slice_: int, hashes: np.ndarray, n_buckets: int) -> Iterator[tuple]:
         edges = np.flatnonzero(np.diff(bucket[chosen], prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = chosen[a:b]
-            packed = np.ascontiguousarray(hashes[own]).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-            yield int(bucket[own[0]]), slice_, kind, packed, _gaps(own) if kind == HASHES else None
+            yield int(bucket[own[0]]), slice_, kind, second[own].tobytes() + low[own].tobytes(), _gaps(own) if kind == HASHES else None
 
 
 def _gaps(places: np.ndarray) -> bytes:
@@ -114,17 +132,18 @@ def repeated_intervals(rows: DataFrame, size: int, n_buckets: int, n_parts: int)
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up = down = np.empty(0, np.uint64)
+        up = [np.empty(0, np.uint64)] * 4
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in sliced(batches, 1, SLICE_BYTES):
             words = Words(batch.column(1))
-            if (need := len(words.hash)) > len(up):
-                up, down = powers(BASE, need), powers(BASE_INVERSE, need)
+            if (need := len(words.hash)) > len(up[0]):
+                up = [powers(x, need) for x in (BASE, BASE_INVERSE, SECOND, SECOND_INVERSE)]
             lengths = np.maximum(words.count - size + 1, 0)
             table = batch.column(0).to_numpy().tobytes() + lengths.astype(np.int64).tobytes()
             slice_ = xxhash.xxh3_64_intdigest(table) >> 1
             starts = np.repeat(words.bounds[:-1], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            out = [(slice_ % n_buckets, slice_, TABLE, None, table), *_blocks(slice_, window_hashes(words.hash, size, up, down)[starts], n_buckets)]
+            pair = (window_hashes(words.hash, size, *up[k : k + 2])[starts] for k in (0, 2))
+            out = [(slice_ % n_buckets, slice_, TABLE, None, table), *_blocks(slice_, *pair, n_buckets)]
             # Blocks go on in small record batches, so that Arrow's copy stays small.
             for k in range(0, len(out), 128):
                 part = list(zip(*out[k : k + 128], strict=True))
@@ -132,22 +151,20 @@ def repeated_intervals(rows: DataFrame, size: int, n_buckets: int, n_parts: int)
 
     def counted(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int, bytes]] = []
-        blocks, hashes = [], []
+        blocks, hashes, more = [], [], []
         for slice_, kind, packed, data in zip(frame["slice"], frame["kind"], frame["hashes"], frame["data"], strict=True):
             if kind in (REPEATED, TABLE):
                 out.append((slice_ % n_parts, slice_, kind, data))
                 continue
-            own = np.zeros((len(packed) // 7, 8), np.uint8)
-            own[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
-            blocks.append((slice_, kind, data, len(own)))
-            hashes.append(own.view(np.uint64).ravel())
+            n = len(packed) // HASH_BYTES
+            blocks.append((slice_, kind, data, n))
+            hashes.append(np.frombuffer(packed, np.uint64, n))
+            more.append(np.frombuffer(packed, np.uint16, n, 8 * n))
         if blocks:
-            everything = np.concatenate(hashes)
-            hashes.clear()
             flags = np.repeat([b[1] == KNOWN for b in blocks], [b[3] for b in blocks])
-            order = np.argsort(everything)
-            everything = everything[order]
-            same = everything[1:] == everything[:-1]
+            order, first = ranks(np.concatenate(hashes), np.concatenate(more))
+            hashes.clear()
+            same = ~first[1:]
             flags[order[1:][same]] = True
             flags[order[:-1][same]] = True
             at = 0
@@ -176,9 +193,9 @@ def repeated_intervals(rows: DataFrame, size: int, n_buckets: int, n_parts: int)
         return pd.DataFrame(rows_, columns=["key", "removed"])
 
     blocks = rows.select("key", "text").mapInArrow(hashed, BLOCK)
-    answers = blocks.groupBy("bucket").applyInPandas(counted, "part int, slice long, kind int, data binary")
+    answers = blocks.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(counted, "part int, slice long, kind int, data binary")
     # Rows with one key hold one text, so their answers are equal.
-    return answers.groupBy("part").applyInPandas(merged, "key long, removed array<int>").dropDuplicates(["key"])
+    return answers.repartition(n_parts, "part").groupBy("part").applyInPandas(merged, "key long, removed array<int>").dropDuplicates(["key"])
 
 
 def intervals(places: np.ndarray, size: int) -> np.ndarray:
