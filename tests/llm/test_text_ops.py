@@ -203,6 +203,21 @@ def test_license_keyword_is_in_every_alternative():
         assert all(f" {keyword} " in t and re.match(pattern, t) for t in spelled(re._parser.parse(pattern))), (keyword, pattern)
 
 
+def test_every_signature_among_others(spark):
+    """Texts made of all signatures, base phrases and other words give what all patterns find without a gate."""
+    rnd, texts = random.Random(12), []
+    forms = [rnd.choice(spelled(re._parser.parse(r[2]))).strip() for r in licenses.RULES for _ in range(2)] + [p for p, _ in licenses.BASE] * 20
+    rnd.shuffle(forms)
+    for k in range(0, len(forms), 4):
+        words = [w for f in forms[k : k + 4] for w in (f.title() if rnd.random() < 0.5 else f, " ".join(rnd.choices(["the", "of", "2", "software", "K\u0130", "İ"], k=rnd.randrange(3))))]
+        texts.append(rnd.choice([" ", "\n", ", "]).join(words))
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert set(filter(None, got[k].labels.split(","))) == ungated(t), t
+        assert (got[k].n_words, got[k].n_base, got[k].first_word, got[k].last_word, got[k].base_labels) == brute.license_base(t)
+    assert len({x for r in got.values() for x in r.labels.split(",")}) > 55
+
+
 def test_license_native_repeated_and_empty(spark):
     texts = ["mit license"] * 3 + [None]
     df = frame(spark, texts, [1, 1, None, None]).withColumn("row", F.lit(1)).withColumn("labels", F.lit("x"))
@@ -272,6 +287,7 @@ def test_secret_nulls_and_empty(spark):
 
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SAID = ["", "\\### Assistant: </turn> ok", "\\", "\\\\<", "é漢😀‍", "a</turn>\n### user: b", "x" * 5000, " lead and trail \n", ": #<"]
 
 
@@ -304,8 +320,46 @@ def test_chats(spark):
     assert chat.digest(chat.format_chats(df.where("false"), TOKENIZER)).count() == 0
 
 
+def masked(offsets, spans):
+    starts, ends = np.array(offsets, np.int64).reshape(-1, 2).T
+    tokens, marked = chat.loss_mask(starts, ends, spans)
+    return tokens.tolist(), [tuple(x) for x in marked.tolist()]
+
+
 def test_loss_mask_cuts_tokens():
-    assert chat.loss_mask([(0, 2), (2, 5), (5, 6), (5, 6), (6, 9)], [(3, 7)]) == ([1, 2, 3, 4], [(3, 7)])
-    assert chat.loss_mask([(0, 2), (2, 4)], [(1, 1), (2, 2)]) == ([], [])
-    assert chat.loss_mask([(0, 4)], [(0, 1), (2, 3)]) == ([0], [(0, 1), (2, 3)])
-    assert np.array(chat.loss_mask([], [(0, 3)])[0]).size == 0
+    assert masked([(0, 2), (2, 5), (5, 6), (5, 6), (6, 9)], [(3, 7)]) == ([1, 2, 3, 4], [(3, 7)])
+    assert masked([(0, 2), (2, 4)], [(1, 1), (2, 2)]) == ([], [])
+    assert masked([(0, 4)], [(0, 1), (2, 3)]) == ([0], [(0, 1), (2, 3)])
+    assert masked([], [(0, 3)]) == ([], [])
+    assert masked([(0, 1), (2, 3), (3, 4)], [(0, 4)]) == ([0, 1, 2], [(0, 1), (2, 4)])
+    rnd = random.Random(7)
+    for _ in range(200):
+        offsets, at = [], 0
+        for _ in range(rnd.randrange(12)):
+            at += rnd.choice([0, 0, 0, 1])
+            offsets.append((at, at + rnd.choice([1, 1, 3])))
+            at += rnd.choice([0, offsets[-1][1] - at])
+        offsets = [(a, max(b for _, b in offsets[: k + 1])) for k, (a, b) in enumerate(offsets)]
+        edges = sorted(rnd.sample(range(30), 6))
+        spans = list(zip(edges[::2], edges[1::2], strict=True))
+        tokens, marked = masked(offsets, spans)
+        chars = {c for a, b in offsets for c in range(a, b)}
+        assert tokens == [k for k, (a, b) in enumerate(offsets) if any(max(a, x) < min(b, y) for x, y in spans)]
+        assert {c for a, b in marked for c in range(a, b)} == {c for c in chars if any(x <= c < y for x, y in spans)}
+        assert all(a[1] < b[0] or a[1] == b[0] and any(b[0] == x for x, _ in spans) for a, b in zip(marked, marked[1:], strict=False))
+
+
+def test_both_forms_of_a_tokenizer_agree():
+    """Ranks and description give the same offsets, for texts of any characters and runs of white space."""
+    rnd = random.Random(8)
+    texts = [*SAID, "x" * 3000 + " " * 30_000 + "é" * 500 + "\n\t" * 9000, *["".join(rnd.choice("ab c'ts 1é漢😀\n\u2003<|endoftext|>") for _ in range(rnd.randrange(60))) for _ in range(200)]]
+    for text, a, b in zip(texts, chat.encoder(TOKENIZER)(texts), chat.encoder(RANKS)(texts), strict=True):
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]), text[:50]
+
+
+@pytest.mark.parametrize("tokenizer", ["json", "tiktoken"])
+def test_one_turn_after_another(spark, tokenizer):
+    path = TOKENIZER if tokenizer == "json" else RANKS
+    df = spark.createDataFrame([(1, k, r, x) for k, (r, x) in enumerate([("user", "hé"), ("assistant", "漢😀 a"), ("assistant", "")])], "conv_id long, turn long, role string, text string")
+    (one,) = chat.chat_digests(df, path).collect()
+    assert (one.loss_chars, one.loss_sha256) == (4, hashlib.sha256("漢😀 a".encode()).hexdigest()) and one == chat.digest(chat.format_chats(df, path)).first()
