@@ -13,11 +13,12 @@ empty result; extra columns are ignored. Conversations are never cut.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ _ROLE = re.compile(r"[\\<#:]")
 _UNDO = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\<#:]|\\.)*): ((?:[^\\<#]|\\.)*)</turn>\n", re.S)
 
+#: A fixed value: how byte-level vocabularies of ranks split a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: Conversations that a task formats at a time; Arrow's batches have a bounded size too.
 AT_ONCE = 64
 
@@ -64,28 +68,25 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
-    """Tokens that meet a span, and the characters under the loss as merged spans.
+def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that meet a span, and the characters under the loss as merged spans, one row each.
 
-    Both lists are sorted. A token that reaches over a span's edge counts only within the span;
-    several tokens of one character count it once.
+    ``starts`` and ``ends`` are the tokens' sorted character offsets; spans are sorted and apart. A token
+    that reaches over a span's edge counts only within the span; several tokens of one character count
+    it once.
     """
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    tokens: list[int] = []
-    marked: list[tuple[int, int]] = []
+    tokens, marked = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
     for a, b in spans:
-        first, last = bisect_right(ends, a), bisect_left(starts, b)
-        for k in range(first, last):
-            x, y = max(a, starts[k]), min(b, ends[k])
-            if x >= y:
-                continue
-            if not tokens or tokens[-1] != k:
-                tokens.append(k)
-            if marked and marked[-1][0] >= a and marked[-1][1] >= x:
-                marked[-1] = (marked[-1][0], max(y, marked[-1][1]))
-            else:
-                marked.append((x, y))
-    return tokens, marked
+        k = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b))
+        x, y = np.maximum(starts[k], a), np.minimum(ends[k], b)
+        k, x, y = k[x < y], x[x < y], y[x < y]
+        if not len(k):
+            continue
+        reach = np.maximum.accumulate(y)
+        new = np.append(True, x[1:] > reach[:-1])
+        tokens.append(k)
+        marked.append(np.stack([x[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)]], 1))
+    return np.unique(np.concatenate(tokens)), np.concatenate(marked)
 
 
 def gather(conversations: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def gather(conversations: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, tokenizer: str, *, loss_role: str = "assistant") -> DataFrame:
     """conv_id, the formatted text, its token count, the tokens under the loss and their characters (start, end, start, ...).
 
-    ``tokenizer`` is the path of a tokenizer file that every executor can open, or the JSON itself.
+    ``tokenizer`` is the path of a tokenizer file that every executor can open (a JSON description, or
+    ranks in a .tiktoken file), or the JSON itself.
     """
 
     return gather(conversations).mapInArrow(_formatter(tokenizer, loss_role), SCHEMA)
@@ -111,9 +113,9 @@ def _formatter(tokenizer: str, loss_role: str) -> Callable[[Iterator[pa.RecordBa
             ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
             rendered = [render(list(zip(r, t, strict=True)), loss_role) for r, t in zip(roles, texts, strict=True)]
             rows = []
-            for (text, spans), offsets in zip(rendered, encode([x for x, _ in rendered]), strict=True):
-                tokens, marked = loss_mask(offsets, spans)
-                rows.append((text, len(offsets), tokens, [x for span in marked for x in span]))
+            for (text, spans), (starts, ends) in zip(rendered, encode([x for x, _ in rendered]), strict=True):
+                tokens, marked = loss_mask(starts, ends, spans)
+                rows.append((text, len(starts), tokens, marked.ravel()))
             columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "formatted", "n_tokens", "loss_tokens", "loss_spans"])
@@ -121,8 +123,13 @@ def _formatter(tokenizer: str, loss_role: str) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def encoder(tokenizer: str) -> Callable[[list[str]], Iterator[list[tuple[int, int]]]]:
-    """A function from texts to the character offsets of their tokens."""
+def encoder(tokenizer: str) -> Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """A function from texts to the character offsets of their tokens, starts and ends."""
+    return _ranked(tokenizer) if tokenizer.endswith(".tiktoken") else _described(tokenizer)
+
+
+def _described(tokenizer: str) -> Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """A tokenizer that a JSON document describes."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,9 +138,39 @@ def encoder(tokenizer: str) -> Callable[[list[str]], Iterator[list[tuple[int, in
     loaded = Tokenizer.from_str(tokenizer) if tokenizer.lstrip().startswith("{") else Tokenizer.from_file(tokenizer)
     loaded.encode_special_tokens = True
 
-    def encode(texts: list[str]) -> Iterator[list[tuple[int, int]]]:
+    def encode(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for e in loaded.encode_batch(texts, add_special_tokens=False):
-            yield e.offsets
+            offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+            yield offsets[:, 0], offsets[:, 1]
+
+    return encode
+
+
+def _ranked(path: str) -> Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """A byte-level vocabulary of ranks; offsets follow from the tokens' bytes."""
+    import regex
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(token) for token in ranks]
+    loaded = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces, run = regex.compile(PATTERN), regex.compile(r"\s{10000}")
+
+    def ids(text: str) -> list[int]:
+        if run.search(text):  # the library's own splitting recurses over white space
+            return [i for piece in pieces.findall(text) for i in loaded._encode_single_piece(piece)]
+        return loaded.encode_ordinary(text)
+
+    def encode(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for text in texts:
+            after = np.cumsum(sizes[np.array(ids(text), np.int64)])
+            before = np.append(0, after[:-1]) if len(after) else after
+            if not text.isascii():  # a token may begin or end within a character
+                chars = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80)
+                before, after = chars[before] - 1, chars[after - 1]
+            yield before, after
 
     return encode
 

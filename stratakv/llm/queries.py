@@ -11,7 +11,7 @@ from . import chat, decontam, licenses, lines, neardup, packing, quality, secret
 from .common import read
 from .oracles import ORACLES
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
