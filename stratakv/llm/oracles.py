@@ -60,4 +60,7 @@ p AS (SELECT doc_id, i, CASE WHEN ws[i:i+1] = ['mit', 'license'] THEN 'mit' WHEN
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, 'license'))),
 f AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
 SELECT w.doc_id AS doc_id, cast(len(ws) AS bigint) AS n_words, cast(coalesce(n, 0) AS bigint) AS n_base, cast(a AS bigint) AS first_word, cast(b AS bigint) AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN f ON w.doc_id = f.doc_id""",
+    "secret_base_counts": f"""SELECT doc_id, cast(len(list_filter(regexp_extract_all({_SMALL}, '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS bigint) AS n_assign,
+  cast(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS bigint) AS n_access,
+  cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS bigint) AS n_hex FROM documents""",
 }

@@ -69,8 +69,13 @@ def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("labels", "score")
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that count base spans, through its operator."""
+    return secrets.secret_scan(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan, op10_line_dedup, quality_base_counts, license_base_places)
+    f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_license_scan, op4_decontamination, op5_chat_formatting, op6_warc, op7_best_fit_packing, op8_substring_dedup, op9_secret_scan, op10_line_dedup, quality_base_counts, license_base_places, secret_base_counts)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
