@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom, keycodec
-from .ranges import next_keys, range_join
+from .ranges import next_keys, range_join, running_total
 
 
 def file_properties(records: DataFrame) -> DataFrame:
@@ -22,12 +22,27 @@ def sorted_run(records: DataFrame) -> DataFrame:
 def probes(lookups: DataFrame, files: DataFrame, hits: DataFrame) -> DataFrame:
     """Files that a newest-first search of level 0 asks for each key: those whose range holds it, from the newest down to the one that has it.
 
-    ``hits`` has (key, hit_file). Keys and files meet by buckets of the key space.
+    ``hits`` has (key, hit_file). No key meets a file: file numbers fall into stretches of powers of
+    two, all from the hit on are at most one stretch of each size, and in a stretch the ranges that
+    hold a key are those begun less those ended, by running totals.
     """
     keys = lookups.select("key").distinct()
-    near = range_join(keys, files.select("file_number", "smallest", "largest")).join(hits, "key", "left")
-    asked = near.groupBy("key").agg(F.count_if(F.col("file_number") >= F.coalesce("hit_file", F.lit(0))).alias("probes"))
-    return keys.join(asked, "key", "left").select("key", F.coalesce("probes", F.lit(0)).cast("long").alias("probes"))
+    sound = files.where("smallest <= largest").select("file_number", "smallest", "largest")
+    ends = sound.agg(F.min("file_number").alias("first"), F.max("file_number").alias("last")).first()
+    if ends.first is None:
+        return keys.select("key", F.lit(0).cast("long").alias("probes"))
+    top = (ends.last - ends.first).bit_length()
+    number, size = F.col("file_number") - ends.first, F.col("size")
+    edges = F.array(F.struct(F.col("smallest").alias("at"), F.lit(0).alias("place"), F.lit(1).alias("weight")), F.struct(F.col("largest").alias("at"), F.lit(2).alias("place"), F.lit(-1).alias("weight")))
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("size")
+    begun = sound.select(number.alias("number"), F.explode(edges).alias("edge")).select("number", "edge.*", sizes)
+    begun = begun.groupBy("size", F.expr("shiftright(number, size)").alias("stretch"), "at", "place").agg(F.sum("weight").alias("weight"))
+    # All numbers from n on: n itself, and of each size the stretch right of n's where n's is a left half.
+    start = keys.where("key is not null").join(hits.hint("merge"), "key", "left").select("key", F.greatest(F.coalesce("hit_file", F.lit(0)) - ends.first, F.lit(0)).cast("long").alias("number")).where(F.col("number") <= ends.last - ends.first)
+    right = start.select("key", "number", F.explode(F.sequence(F.lit(-1), F.lit(top - 1))).alias("size")).where("size < 0 or shiftright(number, greatest(size, 0)) % 2 = 0") if top else start.withColumn("size", F.lit(-1))
+    asked = right.select(F.greatest(size, F.lit(0)).alias("size"), F.when(size < 0, F.col("number")).otherwise(F.expr("shiftright(number, greatest(size, 0))") + 1).alias("stretch"), F.col("key").alias("at"), F.lit(1).alias("place"), F.lit(0).cast("long").alias("weight"))
+    held = running_total(begun.unionByName(asked), "size", "stretch").where("place = 1").groupBy(F.col("at").alias("key")).agg(F.sum("total").alias("probes"))
+    return keys.join(held.hint("merge"), "key", "left").select("key", F.coalesce("probes", F.lit(0)).cast("long").alias("probes"))
 
 
 def overlap_pairs(files: DataFrame) -> DataFrame:

@@ -43,6 +43,22 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str = "key", low: st
     return placed.join(spread, "bucket__").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("bucket__")
 
 
+def running_total(rows: DataFrame, *group: str) -> DataFrame:
+    """rows (at, place, weight, ...) with ``total``: the sum of the weights of a group's rows up to this one, by ``at`` and then ``place``.
+
+    ``place`` tells equal ``at`` apart. Summed in buckets of the key space; only one row for each
+    bucket is summed across them, so no task holds a whole group and nothing is broadcast.
+    """
+    part = [*group, "bucket__"]
+    placed = rows.withColumn("bucket__", _bucket(F.col("at"), _bounds(rows, "at")))
+    sums = placed.groupBy(*part).agg(F.sum("weight").alias("sum__"))
+    before = Window.partitionBy(*group).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*part, F.coalesce(F.sum("sum__").over(before), F.lit(0)).alias("before__"))
+    so_far = Window.partitionBy(*part).orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    added = placed.withColumn("total", F.sum("weight").over(so_far)).join(sums.hint("merge"), part)
+    return added.withColumn("total", F.col("total") + F.col("before__")).drop("bucket__", "before__")
+
+
 def next_keys(keys: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, key): the least key at or after each target, null past the end and for a null target.
 
@@ -60,4 +76,4 @@ def next_keys(keys: DataFrame, targets: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["next_keys", "range_join"]
+__all__ = ["next_keys", "range_join", "running_total"]
