@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import bloom, keycodec
 from .ranges import next_keys, range_join, running_total
 
+#: Files of a block of overlap_pairs(), which writes out at most the square of it from one row.
+OVERLAP_BLOCK = 256
+
 
 def file_properties(records: DataFrame) -> DataFrame:
     """Entries and bounds of each file (records carry file_number)."""
@@ -46,10 +49,26 @@ def probes(lookups: DataFrame, files: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(files: DataFrame) -> DataFrame:
-    """Pairs of files whose key ranges meet: of two such files, one holds the start of the other."""
-    starts = files.select(F.col("file_number").alias("one"), F.col("smallest").alias("start"))
-    met = range_join(starts, files.select("file_number", "smallest", "largest"), "start").where("one <> file_number")
-    return met.select(F.least("one", "file_number").alias("file_a"), F.greatest("one", "file_number").alias("file_b")).distinct()
+    """Pairs of files whose key ranges meet, each once and none compared in vain.
+
+    In the order of their starts, a file meets those after it that start before its end: a span of
+    places. Spans are cut at blocks of OVERLAP_BLOCK places, and blocks meet spans in tiles of at most
+    that many files each way, dealt to all tasks; only there are pairs written out.
+    """
+    numbered = files.select("file_number", "smallest", "largest")
+    edge = lambda at, place, number, weight: F.struct(F.col(at).alias("at"), F.struct(F.lit(place).alias("kind"), number.alias("number")).alias("place"), F.lit(weight).cast("long").alias("weight"))
+    edges = F.array(edge("smallest", 0, F.col("file_number"), 1), F.when(F.col("smallest") <= F.col("largest"), edge("largest", 1, F.col("file_number"), 0)))
+    total = running_total(numbered.select(F.explode(edges).alias("edge")).where("edge.at is not null").select("edge.*"))
+    at = total.groupBy(F.col("place.number").alias("file_number")).agg(*[F.max(F.when(F.col("place.kind") == k, F.col("total") - 1)).alias(n) for k, n in ((0, "own"), (1, "last"))]).where("own is not null")
+    at = at.withColumn("block", F.floor(F.col("own") / OVERLAP_BLOCK))
+    members = at.groupBy(F.col("block").alias("other")).agg(F.transform(F.sort_array(F.collect_list(F.struct("own", "file_number"))), lambda m: m["file_number"]).alias("members"))
+    spans = at.where("last > own").withColumn("other", F.explode(F.sequence(F.floor((F.col("own") + 1) / OVERLAP_BLOCK), F.floor(F.col("last") / OVERLAP_BLOCK))))
+    begin = F.col("other") * OVERLAP_BLOCK
+    span = F.struct(F.col("file_number").alias("one"), (F.greatest(F.col("own") + 1 - begin, F.lit(0)) + 1).cast("int").alias("first"), F.least(F.col("last") - begin + 1, F.lit(OVERLAP_BLOCK)).cast("int").alias("end"))
+    tiles = spans.groupBy("block", "other").agg(F.collect_list(span).alias("spans")).join(members.hint("merge"), "other")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = tiles.repartition(tasks, "block", "other").select("members", F.inline("spans")).select("one", F.explode(F.slice("members", F.col("first"), F.col("end") - F.col("first") + 1)).alias("two"))
+    return met.select(F.least("one", "two").alias("file_a"), F.greatest("one", "two").alias("file_b"))
 
 
 def level_violations(files: DataFrame) -> DataFrame:

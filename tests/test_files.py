@@ -33,3 +33,15 @@ def test_probes_without_a_row_for_each_key_and_file(spark, few_cuts, monkeypatch
     f, asked = spark.createDataFrame(fs, "file_number long, smallest binary, largest binary"), spark.createDataFrame([(k,) for k in keys], "key binary")
     got = files.probes(asked, f, spark.createDataFrame(list(hits.items()), "key binary, hit_file long"))
     assert {bytes(r.key): r.probes for r in got.collect()} == {k: sum(a <= k <= b and n >= hits.get(k, 0) for n, a, b in fs) for k in keys}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_overlap_pairs_come_up_once_and_without_a_join_of_ranges(spark, few_cuts, monkeypatch, block):
+    fs, _ = some_files(random.Random(5), range(40))
+    fs += [(40 + n, b"", b"\xff" * 3) for n in range(9)] + [(50, b"aaaa", b"aaaa")]
+    without_pairs(monkeypatch)
+    monkeypatch.setattr(files, "OVERLAP_BLOCK", block, raising=False)
+    f = spark.createDataFrame(fs, "file_number long, smallest binary, largest binary")
+    expected = sorted((i, j) for i, a, b in fs for j, c, d in fs if i < j and a <= d and c <= b)
+    assert sorted((r.file_a, r.file_b) for r in files.overlap_pairs(f).collect()) == expected
+    assert files.overlap_pairs(f.where("false")).count() == 0
