@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from .ranges import next_keys, range_join, running_total
 
 #: Files of a block of overlap_pairs(), which writes out at most the square of it from one row.
 OVERLAP_BLOCK = 256
+#: Of a row of filter_negatives(): keys, and bits of filters unless one file has more.
+KEY_BLOCK, TILE_BITS = 16_384, 1 << 21
 
 
 def file_properties(records: DataFrame) -> DataFrame:
@@ -88,23 +95,66 @@ def lower_bound(records: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def filter_bits(records: DataFrame, bits_per_key: int) -> DataFrame:
-    """The Bloom filter of each file as its set bits; sizes follow the number of entries, as stored."""
+    """The Bloom filter of each file in words of 64 bits; sizes follow the number of entries, as stored.
+
+    A file's records meet in one task, as its filter is one value.
+    """
     count = bloom.probe_count(bits_per_key)
     size = F.ceil(F.greatest(F.lit(64), F.count("*") * bits_per_key) / 8).cast("long") * 8
-    sizes = records.groupBy("file_number").agg(size.alias("bits"))
-    keys = records.select("file_number", "key").distinct().join(sizes, "file_number")
-    spread = keys.select("file_number", "bits", F.explode(bloom.probes(F.col("key"), F.col("bits"), count)).alias("bit")).distinct()
-    return spread.groupBy("file_number", "bits").agg(F.sort_array(F.collect_list("bit")).alias("set_bits"))
+
+    @F.arrow_udf("array<long>")
+    def build(keys: pa.Array, bits: pa.Array) -> pa.Array:
+        low, step = bloom.hashes_of(keys.flatten().cast(pa.binary()))
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(keys).to_numpy())])
+        words = [bloom.build_words(low[a:b], step[a:b], n, count) for a, b, n in zip(at, at[1:], bits.to_pylist())]
+        ends = np.cumsum([0] + [len(w) for w in words]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, np.concatenate(words) if words else np.array([], np.int64))
+
+    kept = records.groupBy("file_number").agg(size.alias("bits"), F.collect_set("key").alias("keys"))
+    return kept.select("file_number", "bits", build("keys", "bits").alias("words"))
 
 
 def filter_check(lookups: DataFrame, filters: DataFrame, bits_per_key: int) -> DataFrame:
     """lookups (file_number, key, ...) with ``maybe``: whether the file's filter lets the key pass.
 
-    Joins bit by bit, so a large filter is never one array in a row.
+    Lookups meet their file's filter row by row, so nothing is held but one filter.
+    """
+    maybe = bloom.may_contain(F.col("key"), F.col("words"), F.col("bits"), bloom.probe_count(bits_per_key))
+    return lookups.join(filters.hint("merge"), "file_number").select(*lookups.columns, maybe.alias("maybe"))
+
+
+def filter_negatives(keys: DataFrame, files: DataFrame, filters: DataFrame, bits_per_key: int) -> DataFrame:
+    """(file_number, checks, useful_negatives): how many of the keys each file's range holds, and how many of these its filter turns away.
+
+    The keys lie in order in blocks of KEY_BLOCK, as their hashes; a file asks a span of places. Blocks
+    meet groups of files of at most TILE_BITS bits (or one file) in rows that are dealt to all tasks.
     """
     count = bloom.probe_count(bits_per_key)
-    bits = filters.select("file_number", "bits").distinct()
-    asked = lookups.join(bits, "file_number").withColumn("probe", F.explode(F.array_distinct(bloom.probes(F.col("key"), F.col("bits"), count))))
-    present = filters.select("file_number", F.explode("set_bits").alias("probe")).withColumn("there", F.lit(1))
-    joined = asked.join(present, ["file_number", "probe"], "left")
-    return joined.groupBy(*lookups.columns).agg((F.count("*") == F.count("there")).alias("maybe"))
+    edge = lambda at, place, number, weight: F.struct(at.alias("at"), F.struct(F.lit(place).alias("kind"), number.cast("long").alias("number")).alias("place"), F.lit(weight).cast("long").alias("weight"))
+    ends = F.array(edge(F.col("smallest"), 0, F.col("file_number"), 0), edge(F.col("largest"), 2, F.col("file_number"), 0))
+    asked = files.where("smallest <= largest").select(F.explode(ends).alias("edge")).select("edge.*")
+    total = running_total(keys.where("key is not null").select("key").distinct().select(edge(F.col("key"), 1, F.lit(0), 1).alias("edge")).select("edge.*").unionByName(asked))
+    key = total.where("place.kind = 1").select((F.col("total") - 1).alias("own"), bloom.start_and_step(F.col("at")).alias("h"))
+    blocks = key.groupBy(F.floor(F.col("own") / KEY_BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("own", "h"))).alias("k")).select("block", F.col("k.h.low").alias("low"), F.col("k.h.step").alias("step"))
+    at = total.where("place.kind <> 1").groupBy(F.col("place.number").alias("file_number")).agg(*[F.max(F.when(F.col("place.kind") == k, F.col("total"))).alias(n) for k, n in ((0, "begin"), (2, "end"))])
+    spans = at.where("begin < end").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / KEY_BLOCK), F.floor((F.col("end") - 1) / KEY_BLOCK))))
+    start = F.col("block") * KEY_BLOCK
+    width = F.ceil(F.log2(F.col("bits").cast("double"))).cast("int")
+    group = F.floor(F.col("file_number") / F.greatest(F.lit(1), F.expr(f"shiftright({TILE_BITS}, least(width, 31))")))
+    span = F.struct("file_number", F.greatest(F.col("begin") - start, F.lit(0)).alias("begin"), F.least(F.col("end") - start, F.lit(KEY_BLOCK)).alias("end"), "bits", "words")
+    tiles = spans.join(filters.hint("merge"), "file_number").withColumn("width", width).groupBy("block", "width", group.alias("group")).agg(F.collect_list(span).alias("spans"))
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.join(blocks.hint("merge"), "block").repartition(tasks, "block", "width", "group").select("spans", "low", "step")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                spans, low, step = (batch.column(c)[i].values for c in range(3))
+                low, step = low.to_numpy().astype(np.uint64), step.to_numpy().astype(np.uint64)
+                number, begin, end, bits = (spans.field(c).to_numpy() for c in range(4))
+                words = [w.values.to_numpy() for w in spans.field(4)]
+                missed = [bloom.count_negatives(low[b:e], step[b:e], w, n, count) for b, e, n, w in zip(begin, end, bits, words)]
+                yield pa.RecordBatch.from_pydict({"file_number": number, "checks": end - begin, "useful_negatives": np.array(missed, np.int64)})
+
+    found = dealt.mapInArrow(ask, "file_number long, checks long, useful_negatives long")
+    return found.groupBy("file_number").agg(F.sum("checks").alias("checks"), F.sum("useful_negatives").alias("useful_negatives"))

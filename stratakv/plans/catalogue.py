@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, keycodec
 from ..operators import files, metadata, mvcc
-from ..operators.ranges import range_join
 from ..sources.adapters import BATCHES_PER_FILE, FIRST_FILE, events_log, orders_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,10 +236,9 @@ FROM seen s LEFT JOIN own o ON s.key = o.key AND s.file_number = o.file_number G
 def bloom_useful_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key asked of the filters of the files whose range holds it: how often they save a read, and that they never hide a key."""
     records = _records(spark, sf_dir)
-    own = records.select("file_number", "key").distinct().withColumn("stored", F.lit(True))
-    asked = range_join(records.select("key").distinct(), files.file_properties(records)).select("key", "file_number")
-    checked = files.filter_check(asked, files.filter_bits(records, 10), 10).join(own, ["file_number", "key"], "left")
-    return checked.groupBy("file_number").agg(F.count("*").alias("checks"), F.count_if(~F.col("maybe")).alias("useful_negatives"), F.count_if(F.coalesce("stored", F.lit(False)) & ~F.col("maybe")).alias("false_negatives"))
+    filters = files.filter_bits(records, 10)
+    own = files.filter_check(records.select("file_number", "key").distinct(), filters, 10).groupBy("file_number").agg(F.count_if(~F.col("maybe")).alias("false_negatives"))
+    return files.filter_negatives(records.select("key"), files.file_properties(records), filters, 10).join(own, "file_number").select("file_number", "checks", "useful_negatives", "false_negatives")
 
 
 @registered(f"{LOG} SELECT seq, count(*) AS ops, cast(sum(octet_length(encode(key))) AS bigint) AS payload_bytes FROM log GROUP BY 1")

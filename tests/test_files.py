@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from stratakv.functions import bloom
 from stratakv.operators import files, ranges
 
 
@@ -45,3 +46,29 @@ def test_overlap_pairs_come_up_once_and_without_a_join_of_ranges(spark, few_cuts
     expected = sorted((i, j) for i, a, b in fs for j, c, d in fs if i < j and a <= d and c <= b)
     assert sorted((r.file_a, r.file_b) for r in files.overlap_pairs(f).collect()) == expected
     assert files.overlap_pairs(f.where("false")).count() == 0
+
+
+def stored(spark, numbers):
+    fs, keys = some_files(random.Random(6), numbers)
+    held = {n: sorted({k for k in keys[n % 5 :: 3] if a <= k <= b} | {a, b}) for n, a, b in fs}
+    return fs, sorted(set(keys)), held, spark.createDataFrame([(n, k) for n, ks in held.items() for k in ks * (1 + 40 * (n % 7 == 0))], "file_number long, key binary")
+
+
+def python_filters(held, repeats=lambda n: 1 + 40 * (n % 7 == 0)):
+    count = bloom.probe_count(10)
+    sizes = {n: bloom.bit_count(len(ks) * repeats(n), 10) for n, ks in held.items()}
+    return {n: bloom.Filter.build((b for k in ks for b in bloom.probes_of(k, sizes[n], count)), sizes[n], count) for n, ks in held.items()}
+
+
+@pytest.mark.parametrize("block, tile", [(16_384, 1 << 21), (4, 256)])
+def test_filter_negatives_are_those_of_each_key_and_file(spark, few_cuts, monkeypatch, block, tile):
+    fs, keys, held, records = stored(spark, range(30))
+    monkeypatch.setattr(files, "KEY_BLOCK", block, raising=False)
+    monkeypatch.setattr(files, "TILE_BITS", tile, raising=False)
+    without_pairs(monkeypatch)
+    f = spark.createDataFrame(fs, "file_number long, smallest binary, largest binary")
+    got = files.filter_negatives(spark.createDataFrame([(k,) for k in keys], "key binary"), f, files.filter_bits(records, 10), 10)
+    filters = python_filters(held)
+    inside = {n: [k for k in keys if a <= k <= b] for n, a, b in fs}
+    expected = {n: (len(ks), sum(not filters[n].may_contain(k) for k in ks)) for n, ks in inside.items() if ks}
+    assert {r.file_number: (r.checks, r.useful_negatives) for r in got.collect()} == expected and any(m for _, m in expected.values())
