@@ -72,3 +72,12 @@ def test_filter_negatives_are_those_of_each_key_and_file(spark, few_cuts, monkey
     inside = {n: [k for k in keys if a <= k <= b] for n, a, b in fs}
     expected = {n: (len(ks), sum(not filters[n].may_contain(k) for k in ks)) for n, ks in inside.items() if ks}
     assert {r.file_number: (r.checks, r.useful_negatives) for r in got.collect()} == expected and any(m for _, m in expected.values())
+
+
+def test_filter_check_has_one_row_for_a_lookup_and_hashes_it_once(spark):
+    _, keys, held, records = stored(spark, range(30))
+    asked = spark.createDataFrame([(n, k) for n in held for k in [*keys, b"", b"absent", b"\xff\x00" * 40]], "file_number long, key binary")
+    filters, lookups = python_filters(held), files.filter_check(asked, files.filter_bits(records, 10), 10)
+    assert all(r.maybe == filters[r.file_number].may_contain(bytes(r.key)) for r in lookups.collect())
+    plan = lookups._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("aggregate(") == 1
